@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presslake.llm import secrets
 from presslake.llm.byte_bpe import op3_byte_bpe
+from presslake.llm.packing import op10_best_fit_packing
+from presslake.llm.secrets import op1_secret_scan
 from presslake.llm.token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.ORACLE_SQL}
