@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from presslake.session import read, ship
 
-#: Rows of an Arrow batch: small enough that a batch of very long texts stays in a worker's memory.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch: a batch of very long texts stays small in a worker's memory.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:

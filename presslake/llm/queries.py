@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from presslake.llm import secrets
+from presslake.llm.ann import op4_nearest_neighbours
+from presslake.llm.ball_tree import op7_exact_top_k
 from presslake.llm.byte_bpe import op3_byte_bpe
+from presslake.llm.jaccard_join import op5_jaccard_join
 from presslake.llm.packing import op10_best_fit_packing
 from presslake.llm.secrets import op1_secret_scan
 from presslake.llm.token_counts import op8_token_counts
@@ -15,6 +18,9 @@ from presslake.llm.token_counts import op8_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslake.llm.common import documents
+from presslake.session import checkpoint
 
 #: Kind -> (pattern, group of the value, least characters of it), in the order of the contract; the first three are the base.
 PATTERNS = {
@@ -35,13 +36,19 @@ COPIED_OWNERS = 3
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """Row id, kind, start, end (code points) and value of every match, leftmost and non-overlapping per kind."""
-    kinds = []
-    for order, (kind, (pattern, group, least)) in enumerate(PATTERNS.items()):
+    def matches(kind: str, order: int) -> Column:
+        pattern, group, least = PATTERNS[kind]
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else found
-        gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
-        zipped = F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("size"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), value.alias("value"))
-        kinds.append(F.transform(zipped, lambda x, i, kind=kind, order=order, least=least: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("kind_order"), F.lit(least).alias("least"), i.alias("i"), x["size"].alias("size"), x["gap"].alias("gap"), x["value"].alias("value"))))
+        gaps = F.transform(F.split("text", pattern, -1), F.length)
+        zipped = F.arrays_zip(F.transform(found, F.length).alias("size"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), value.alias("value"))
+
+        def one(x: Column, i: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("kind_order"), F.lit(least).alias("least"), i.alias("i"), x["size"].alias("size"), x["gap"].alias("gap"), x["value"].alias("value"))
+
+        return F.transform(zipped, one)
+
+    kinds = [matches(kind, order) for order, kind in enumerate(PATTERNS)]
     each = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text_hash", "repository", "owner", F.inline(F.concat(*kinds)))
     so_far = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
@@ -59,8 +66,9 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def find(docs: DataFrame, repository: Column, owner: Column, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """Rows with candidates: doc_id, text_hash and found, an array of spans with their ownership, by start, then kind."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
-    some = _candidates(rows.filter(F.col("text").rlike(ANY)).withColumn("text_hash", F.xxhash64("text")))
-    judged = some.join(ownership(some), "value_hash", "left").withColumn("live", F.col("n_owners") < copied_owners)
+    # both written: the patterns run once, and either side of the join is a plain shuffle, which Spark can split where a value is hot
+    some = checkpoint(_candidates(rows.filter(F.col("text").rlike(ANY)).withColumn("text_hash", F.xxhash64("text"))))
+    judged = some.join(checkpoint(ownership(some)), "value_hash", "left").withColumn("live", F.col("n_owners") < copied_owners)
     kept = judged.filter((F.col("kind") != "opaque") | F.col("live"))
     span = F.struct("start", "kind_order", "end", "kind", "live", "n_owners", "n_repositories", "value_hash")
     return kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("found"))
@@ -129,10 +137,10 @@ WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') A
 matches AS ({' UNION ALL '.join(parts)}),
 each AS (SELECT *, unnest(generate_series(1, len(found))) AS i FROM matches),
 placed AS (SELECT row, doc_id, source, lang, kind, kind_order, least, vals[i] AS val, sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY row, kind ORDER BY i) AS stop, length(found[i]) AS size FROM each),
-some AS (SELECT *, CAST(stop - size AS BIGINT) AS begin_at FROM placed
+cand AS (SELECT *, CAST(stop - size AS BIGINT) AS begin_at FROM placed
          WHERE length(val) >= least AND (kind <> 'opaque' OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND NOT starts_with(val, 'AKIA')))),
-owners AS (SELECT val, count(DISTINCT source) AS n_owners FROM some GROUP BY val),
-kept AS (SELECT some.*, n_owners < {COPIED_OWNERS} AS live, kind || ':' || begin_at || ':' || CAST(stop AS BIGINT) AS span FROM some JOIN owners USING (val) WHERE kind <> 'opaque' OR n_owners < {COPIED_OWNERS}),
+owners AS (SELECT val, count(DISTINCT source) AS n_owners FROM cand GROUP BY val),
+kept AS (SELECT cand.*, n_owners < {COPIED_OWNERS} AS live, kind || ':' || begin_at || ':' || CAST(stop AS BIGINT) AS span FROM cand JOIN owners USING (val) WHERE kind <> 'opaque' OR n_owners < {COPIED_OWNERS}),
 per AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                string_agg(span, ',' ORDER BY begin_at, kind_order) FILTER (kind <> 'opaque') AS base, string_agg(span, ',' ORDER BY begin_at, kind_order) AS spans,
                count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM kept GROUP BY row)
