@@ -12,14 +12,18 @@ from presslake.llm.ball_tree import op7_exact_top_k
 from presslake.llm.byte_bpe import op3_byte_bpe
 from presslake.llm.jaccard_join import op5_jaccard_join
 from presslake.llm.packing import op10_best_fit_packing
+from presslake.llm.quality import op2_quality_classifier
 from presslake.llm.secrets import op1_secret_scan
 from presslake.llm.token_counts import op8_token_counts
+from presslake.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,

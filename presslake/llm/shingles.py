@@ -16,6 +16,8 @@ _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _PLACE = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that end a word of letters: all of ASCII but letters.
+LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _STEP, _MIX, _MARK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -31,10 +33,10 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, 64-bit hash) of every word; A-Z count as a-z, words are cut at ASCII white space."""
+def word_hashes(data: bytes, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word; A-Z count as a-z, words are cut at the bytes that ``ends`` marks, ASCII white space."""
     raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
+    space = ends[raw]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
@@ -82,33 +84,46 @@ def _sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray
             yield np.array([], np.uint64)
 
 
-def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
-    """Each text's distinct k-word shingles as sorted 64-bit hashes; with fewer words, the whole sequence as one; without words, none."""
+def _hashed(texts: list[str], ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of several texts at a time, and where each text's begin and end among them."""
     held: list[bytes] = []
+    total = 0
 
-    def flush() -> Iterator[np.ndarray]:
-        if held:
-            data = b"\n".join(held)
-            first = np.cumsum([0, *(len(x) + 1 for x in held)])
-            start, hashes = word_hashes(data)
-            yield from _sets(hashes, np.searchsorted(start, first), k)
-            held.clear()
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        first = np.cumsum([0, *(len(x) + 1 for x in held)])
+        start, hashes = word_hashes(b"\n".join(held), ends)
+        held.clear()
+        return hashes, np.searchsorted(start, first)
 
-    total = 0
     for text in texts:
         data = text.encode("utf-8", "surrogatepass")
         if len(data) > CHUNK:
-            yield from flush()
-            total = 0
-            hashes = np.concatenate([word_hashes(p)[1] for p in _pieces(data)])
-            yield from _sets(hashes, np.array([0, len(hashes)]), k)
+            if held:
+                yield flush()
+                total = 0
+            hashes = np.concatenate([word_hashes(p, ends)[1] for p in _pieces(data)])
+            yield hashes, np.array([0, len(hashes)])
             continue
         held.append(data)
         total += len(data)
         if total > CHUNK:
-            yield from flush()
+            yield flush()
             total = 0
-    yield from flush()
+    if held:
+        yield flush()
+
+
+def text_words(texts: list[str], ends: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
+    """Each text's word hashes in order."""
+    for hashes, bounds in _hashed(texts, ends):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield hashes[a:b]
+
+
+def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
+    """Each text's distinct k-word shingles as sorted 64-bit hashes; with fewer words, the whole sequence as one; without words, none."""
+    for hashes, bounds in _hashed(texts, _SPACE):
+        yield from _sets(hashes, bounds, k)
 
 
 @np.errstate(over="ignore")
