@@ -16,6 +16,7 @@ from presslake.llm.quality import op2_quality_classifier
 from presslake.llm.secrets import op1_secret_scan
 from presslake.llm.token_counts import op8_token_counts
 from presslake.llm.toxicity import op6_toxicity
+from presslake.llm.wrappers import op9_html_wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_token_counts": op8_token_counts,
+    "op9_html_wrappers": op9_html_wrappers,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
