@@ -41,11 +41,20 @@ def ship(spark: SparkSession) -> None:
     context._presslake_shipped = True
 
 
+#: Shuffle files of a query go as soon as it has ended, not when the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the cluster names in spark.checkpoint.dir."""
+    """Cut the lineage in the shared folder that the cluster names in spark.checkpoint.dir; what was shuffled for it is dropped."""
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
