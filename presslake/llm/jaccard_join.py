@@ -4,17 +4,17 @@
 2. A bounded sketch counts how many sets hold each shingle. It only orders shingles, rare ones first
    (any order gives the same links): two sets that link share a shingle of both prefixes, of size
    n - ceil(t * n) + 1.
-3. Index lists: prefix shingles are range-sorted with size and position. A list is cut into blocks
-   where sizes are too far apart to link, and blocks of one set are skipped. A set isn't paired with
-   all others of its block: it is paired with the block's pivot, where their positions leave a link
-   possible. So a list gives as many rows as it has sets.
-4. The pairs with pivots are verified. Sets that link with one pivot are in one class; that answers
-   for all pairs among them, and a list whose sets are in one class is done.
-5. Only lists that still hold several classes go on. Their sets form families. In a family every
-   set's overlaps are derived from its pivot's: |S & T| = |P| + <P, dS> + <P, dT> + <dS, dT>, where
-   dS is the small difference of S from P; the products of the differences are taken block by block,
-   for blocks whose sizes can meet and that aren't one class already. A family gives no more links
-   than it joins classes. Families of any size are cut into bounded blocks; no pair is left out.
+3. Index lists: prefix shingles are sorted by list, size and position. A list is cut into blocks where
+   sizes are too far apart to link; blocks of one set, and blocks whose positions leave no link
+   possible, are skipped. Lists with the same sets are one list.
+4. Each set has a mark, a bitmap of its smallest hashes that bounds overlaps from above. In a list a
+   pivot is held against all others; what can link with it joins its family and needs no comparison
+   with the pivot's other answers, only sets of different families are compared further. So a list of
+   near copies takes about as many comparisons as it has sets, and gives fewer rows than that.
+5. In a family every set's overlaps are derived from its pivot's: |S & T| = |P| + <P, dS> + <P, dT> +
+   <dS, dT>, where dS is the small difference of S from P. A family gives no more links than join its
+   sets. Families of any size are cut into bounded blocks, and each pair of blocks is a unit; no pair
+   is left out.
 6. Connected components of the links are the classes.
 
 Defined cases: a null text counts as empty; an empty set is linked with nothing and is its own
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from presslake.llm.common import documents, map_batches, prepare, texts_of
 from presslake.llm.graph import components
-from presslake.llm.shingles import set_id, shingle_sets
+from presslake.llm.shingles import mix, set_id, shingle_sets
 from presslake.session import checkpoint
 
 #: Shingle words and percent of similarity that the query's contract asks for.
@@ -43,11 +43,13 @@ WORDS, PERCENT = 4, 85
 BUCKETS, SLICE = 1 << 21, 1 << 15
 #: Sets of a family's block.
 BLOCK = 384
-#: Rows of an index list that a task holds; a longer list goes on in a block chained to it by its pivot.
+#: Rows of an index list that a task holds; the sets of a longer list are one family, whatever their marks say.
 LIST_ROWS = 1 << 17
+#: Longs of a mark, and the hashes in it at most.
+MARK_LONGS, MARK_HASHES = 16, 384
 COLUMNS = 4096
 
-ROWS = "doc_id long, text_hash long, set_id long, n int, slice int, counts binary"
+ROWS = "doc_id long, text_hash long, set_id long, n int, top long, reach long, mark binary, slice int, counts binary"
 
 
 def bucket(values: np.ndarray) -> np.ndarray:
@@ -77,27 +79,40 @@ def total(slices: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def mark(s: np.ndarray) -> tuple[int, int, bytes]:
+    """Largest hash in the mark, the hash up to which the mark knows all of the set (both halved), and the bitmap."""
+    own = s[:MARK_HASHES]
+    bits = np.zeros(MARK_LONGS * 64, bool)
+    bits[(mix(own) >> np.uint64(64 - (MARK_LONGS * 64).bit_length() + 1)).astype(np.int64)] = True
+    top = int(own[-1] >> np.uint64(1))
+    return top, (1 << 63) - 1 if len(own) == len(s) else top, np.packbits(bits).tobytes()
+
+
 def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """A row per document (set number and size) and, at a task's end, the slices of its sketch."""
+    """A row per document (number, size and mark of its set) and, at a task's end, the slices of its sketch."""
     source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     prepare(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("top", pa.int64()), ("reach", pa.int64()), ("mark", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(BUCKETS, np.uint32), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            numbers, sizes = [], []
+            rows = []
             for s in shingle_sets(texts_of(batch), words):
-                numbers.append(number := set_id(s))
-                sizes.append(len(s))
-                if number not in seen:
+                number = set_id(s)
+                new = len(s) and number not in seen  # the mark goes with the first text of a set only
+                if new:
                     seen.add(number)
                     np.add.at(counts, bucket(s), 1)
-            none = pa.nulls(len(numbers))
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        own = _slices(np.minimum(counts, 65535))
-        none = pa.nulls(len(own))
-        yield pa.record_batch([none.cast(pa.int64())] * 3 + [none.cast(pa.int32()), pa.array([i for i, _ in own], pa.int32()), pa.array([c for _, c in own], pa.binary())], schema=schema)
+                rows.append((number, len(s), *(mark(s) if new else (None, None, None))))
+            columns = zip(*rows) if rows else [[]] * 5
+            none = pa.nulls(len(rows))
+            own = [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(list(c)) for c in columns), none, none]
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(own, schema)], schema=schema)
+        slices = _slices(np.minimum(counts, 65535))
+        none = pa.nulls(len(slices))
+        own = [none] * 7 + [pa.array([i for i, _ in slices]), pa.array([c for _, c in slices])]
+        yield pa.record_batch([c.cast(f.type) for c, f in zip(own, schema)], schema=schema)
 
     return source.mapInArrow(run, ROWS)
 
@@ -142,59 +157,147 @@ def list_blocks(n: np.ndarray, number: np.ndarray, percent: int) -> Iterator[np.
             yield block
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of rows sorted by the first one, and the edges of its runs, no run in two parts unless it is longer than LIST_ROWS."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [np.array(batch.column(c).to_pylist(), object) if pa.types.is_binary(batch.column(c).type) else batch.column(c).to_numpy() for c in names]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        cut = len(held[0]) if len(held[0]) - cut > LIST_ROWS else cut
+        if cut:
+            done, held = [c[:cut] for c in held], [c[cut:] for c in held] if cut < len(held[0]) else None
+            yield done, np.flatnonzero(np.concatenate([[True], done[0][1:] != done[0][:-1], [True]]))
+    if held is not None and len(held[0]):
+        yield held, np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1], [True]]))
+
+
 def _lists(prefixes: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """(token, set_id, pivot, near) of every set of a list's block but its pivot."""
+    """(list, set_id) of the blocks in which a link is possible; the same sets are the same list. A null list: set_id is chained to ``other``."""
     prepare(prefixes.sparkSession)
 
-    def answer(columns: list[np.ndarray]) -> list[np.ndarray]:
-        token, n, number, pos = columns
-        out = []
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a < 2:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain: tuple[int, int] | None = None
+        for (token, n, number, pos), edges in whole_runs(batches, ["token", "n", "set_id", "pos"]):
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            chained: list[tuple[int, int]] = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if chain and chain[0] == token[a] or b - a > LIST_ROWS:  # a part of a list too long to hold
+                    first = chain[1] if chain and chain[0] == token[a] else int(number[a])
+                    chained += [(int(x), first) for x in number[a:b] if x != first]
+                    chain = int(token[a]), first
+                    continue
+                if b - a < 2:
+                    continue
+                for block in list_blocks(n[a:b], number[a:b], percent):
+                    rows = a + block
+                    # the largest overlap that positions leave open: shingles before the common one, and from it on
+                    i, size = pos[rows].astype(np.int64), n[rows].astype(np.int64)
+                    p = int(i.argmin())
+                    most = np.minimum(i, i[p]) + np.minimum(size - i, size[p] - i[p])
+                    if len(rows) == 2 and (most * (100 + percent) < percent * (size + size[p])).any():
+                        continue
+                    own = np.sort(number[rows])
+                    out.append((np.full(len(own), set_id(own.view(np.uint64))), own))
+            if out:
+                lists, members = (np.concatenate(c) for c in zip(*out))
+                table = pa.table({"list": lists, "set_id": members}).group_by(["list", "set_id"]).aggregate([])
+                none = pa.nulls(table.num_rows, pa.int64())
+                yield pa.record_batch([table.column("list").combine_chunks(), table.column("set_id").combine_chunks(), none], names=["list", "set_id", "other"])
+            if chained:
+                yield pa.record_batch([pa.nulls(len(chained), pa.int64()), pa.array([x for x, _ in chained]), pa.array([y for _, y in chained])], names=["list", "set_id", "other"])
+
+    return prefixes.repartition(partitions, "token").sortWithinPartitions("token", "n", "set_id").mapInArrow(run, "list long, set_id long, other long")
+
+
+class Marks:
+    """Sizes and marks of a list's sets, held against each other."""
+
+    def __init__(self, n: np.ndarray, top: np.ndarray, reach: np.ndarray, bits: np.ndarray, percent: int):
+        self.n, self.top, self.reach, self.bits, self.percent = n.astype(np.int64), top, reach, bits, percent
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets i and j (rows, broadcast together) can link by their marks."""
+        lost_i = np.bitwise_count(self.bits[i] & ~self.bits[j]).sum(-1)
+        lost_j = np.bitwise_count(self.bits[j] & ~self.bits[i]).sum(-1)
+        n_i, n_j = self.n[i], self.n[j]
+        # a hash in i's mark that j's mark lacks is not in j, if j's mark reaches that far
+        most = np.minimum(n_i, n_j)
+        most = np.where(self.top[i] <= self.reach[j], np.minimum(most, n_i - lost_i), most)
+        most = np.where(self.top[j] <= self.reach[i], np.minimum(most, n_j - lost_j), most)
+        return most * (100 + self.percent) >= self.percent * (n_i + n_j)
+
+    def families(self, rows: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of rows that hang each family of the list together."""
+        family = np.full(len(rows), -1)
+        pivots, out = [], []
+        for at in range(len(rows)):
+            if family[at] >= 0:
                 continue
-            for block in list_blocks(n[a:b], number[a:b], percent):
-                rows = a + block
-                p = rows[number[rows].argmin()]
-                rest = rows[rows != p]
-                # shingles before this one that both may hold, and what comes from it on
-                most = np.minimum(pos[rest], pos[p]) + np.minimum(n[rest] - pos[rest], n[p] - pos[p])
-                near = most * (100 + percent) >= percent * (n[rest].astype(np.int64) + n[p])
-                out.append((token[rest], number[rest], np.full(len(rest), number[p]), near))
-        return [np.concatenate(c) for c in zip(*out)]
+            family[at] = at
+            pivots.append(at)
+            for x in np.flatnonzero((family < 0) & self.may_link(rows[at], rows)):
+                family[x] = at
+                out.append((int(rows[at]), int(rows[x])))
+        parent = {p: p for p in pivots}
+
+        def root(p: int) -> int:
+            while parent[p] != p:
+                p = parent[p]
+            return p
+
+        for k, p in enumerate(pivots):
+            mine = np.flatnonzero(family == p)
+            for q in pivots[:k]:
+                if root(p) == root(q):
+                    continue
+                others = np.flatnonzero(family == q)
+                for a in range(0, len(mine), 256):
+                    some = mine[a : a + 256]
+                    hit = next((h for b in range(0, len(others), 256) if len(h := np.argwhere(self.may_link(rows[some][:, None], rows[others[b : b + 256]][None, :]))) and (h := h + [0, b]) is not None), None)
+                    if hit is not None:
+                        parent[root(p)] = root(q)
+                        out.append((int(rows[some[hit[0][0]]]), int(rows[others[hit[0][1]]])))
+                        break
+        return out
+
+
+def _family_edges(lists: DataFrame, marks: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, b): sets of one list that can link, as few as hang the list's families together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(c).to_numpy() for c in ("token", "n", "set_id", "pos")]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            last = held[0] == held[0][-1]
-            cut = len(last) - int(last.sum())
-            done = [c[:cut] for c in held] if cut else None
-            held = [c[cut:] for c in held]
-            if len(held[0]) > LIST_ROWS:  # a long list: its last row begins the next block, so that the blocks hang together
-                done, held = ([np.concatenate(x) for x in zip(done, held)] if done else held), [c[-1:] for c in held]
-            if done and (out := answer(done)):
-                yield pa.record_batch([pa.array(c) for c in out], names=["token", "set_id", "pivot", "near"])
-        if held is not None and (out := answer(held)):
-            yield pa.record_batch([pa.array(c) for c in out], names=["token", "set_id", "pivot", "near"])
-
-    return prefixes.repartition(partitions, "token").sortWithinPartitions("token", "n", "set_id").mapInArrow(run, "token long, set_id long, pivot long, near boolean")
+        for (lists_, number, n, top, reach, mark_), edges in whole_runs(batches, ["list", "set_id", "n", "top", "reach", "mark"]):
+            bits = np.frombuffer(b"".join(mark_), np.uint64).reshape(-1, MARK_LONGS)
+            marks_ = Marks(n, top, reach, bits, percent)
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            two = two[marks_.may_link(two, two + 1)]
+            out = list(zip(two.tolist(), (two + 1).tolist()))
+            for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
+                out += marks_.families(np.arange(a, b))
+            if out:
+                i, j = np.array(out).T
+                yield pa.record_batch([pa.array(number[i]), pa.array(number[j])], names=["a", "b"])
+
+    prepare(lists.sparkSession)
+    known = lists.filter("list is not null").select("list", "set_id").distinct().join(marks, "set_id")
+    each = known.repartition(partitions, "list").sortWithinPartitions("list", "set_id")
+    return each.select("list", "set_id", "n", "top", "reach", "mark").mapInArrow(run, "a long, b long")
 
 
 def _needed_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     """(set_id, shingles) of the sets in ``ids`` (set_id). A bounded sketch of the ids keeps other texts' sets in their task."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BUCKETS, bool)
         for batch in batches:
             found[bucket(batch.column("set_id").to_numpy())] = True
         own = _slices(found)
         yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([c for _, c in own], pa.binary())], names=["slice", "counts"])
 
-    flags = docs.sparkSession.sparkContext.broadcast(total(ids.select("set_id").mapInArrow(mark, "slice int, counts binary")) > 0)
+    flags = docs.sparkSession.sparkContext.broadcast(total(ids.select("set_id").mapInArrow(flag, "slice int, counts binary")) > 0)
 
     def start():
         wanted, seen = flags.value, set()
@@ -211,27 +314,7 @@ def _needed_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
         return step
 
     sets = map_batches(docs.select("text"), "set_id long, shingles binary", start)
-    return checkpoint(sets.join(ids.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-
-    def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            return batch.select(["a", "b"]).filter(pa.array(keep))
-
-        return step
-
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("right_set"))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set"), "a long, b long", start)
+    return sets.join(ids.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -259,11 +342,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def joining_links(sets: list[np.ndarray], classes: list[int], percent: int) -> list[tuple[int, int]]:
-    """Pairs (rows) that link and join two classes, as few as join all that link."""
-    if len(set(classes)) < 2:
-        return []
-    parent: dict[int, int] = {c: c for c in classes}
+def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (rows) that link, as few as join all that are linked."""
+    parent = list(range(len(sets)))
 
     def root(c: int) -> int:
         while parent[c] != c:
@@ -273,32 +354,26 @@ def joining_links(sets: list[np.ndarray], classes: list[int], percent: int) -> l
 
     size = np.array([len(s) for s in sets])
     both = overlaps(sets)
-    number = np.unique(classes, return_inverse=True)[1]
     linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     out = []
-    for i, j in zip(*np.nonzero(np.triu(linked & (number[:, None] != number[None, :])))):
-        a, b = root(classes[i]), root(classes[j])
-        if a != b:
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
+        if (a := root(i)) != (b := root(j)):
             parent[a] = b
-            out.append((int(i), int(j)))
+            out.append((i, j))
     return out
 
 
 def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside families that join classes. members: (family, set_id, component)."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    blocked = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    """Links (a, b) inside families, as few as join all that are linked. members: (family, set_id)."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocked = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     # a family of one block is one unit; of more, each pair of blocks is
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = blocked.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "component")
+    units = blocked.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id")
 
-    def run(key, table):
-        order = np.argsort([len(s) for s in table.column("shingles").to_pylist()], kind="stable")
-        table = table.take(pa.array(order))
+    def run(table):
         numbers = table.column("set_id").to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        classes = table.column("component").to_pylist()
-        links = joining_links(sets, classes, percent)
+        links = joining_links([np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()], percent)
         return pa.table({"a": pa.array([numbers[i] for i, _ in links], pa.int64()), "b": pa.array([numbers[j] for _, j in links], pa.int64())})
 
     return units.join(sets, "set_id").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
@@ -310,25 +385,13 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows = checkpoint(_fingerprints(docs, words))
     order = spark.sparkContext.broadcast(total(rows.filter("slice is not null").select("slice", "counts")))
     labelled = rows.filter("slice is null")
+    marks = rows.filter("mark is not null").select("set_id", "n", "top", "reach", "mark").dropDuplicates(["set_id"])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = checkpoint(_lists(_prefixes(docs, words, percent, order), percent, partitions))
-    pairs = lists.filter("near").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    ids = lists.select("set_id").unionByName(lists.select(F.col("pivot").alias("set_id"))).distinct()
-    sets = _needed_sets(docs, words, ids)
-    links = checkpoint(_verify(pairs, sets, percent))
-    known = checkpoint(components(links))
-
-    def component(frame: DataFrame, column: str, name: str) -> DataFrame:
-        of = known.select(F.col("id").alias(column), F.col("component").alias(name))
-        return frame.join(of, column, "left").withColumn(name, F.coalesce(name, column))
-
-    judged = component(component(lists.select("token", "set_id", "pivot"), "set_id", "own"), "pivot", "pivots")
-    open_lists = judged.groupBy("token").agg(F.max(F.col("own") != F.col("pivots")).alias("open")).filter("open").select("token")
-    edges = checkpoint(lists.join(open_lists, "token", "left_semi").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct())
-    family = components(edges).select(F.col("id").alias("set_id"), F.col("component").alias("family"))
-    members = checkpoint(component(family, "set_id", "component"))
-    all_links = links.unionByName(_family_links(members, sets, percent))
-    classes = components(all_links).select(F.col("id").alias("set_id"), F.col("component").alias("class"))
+    edges = _family_edges(lists, marks, percent, partitions).unionByName(lists.filter("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
+    members = checkpoint(components(edges).select(F.col("id").alias("set_id"), F.col("component").alias("family")))
+    sets = _needed_sets(docs, words, members)
+    classes = components(_family_links(members, sets, percent)).select(F.col("id").alias("set_id"), F.col("component").alias("class"))
     joined = checkpoint(labelled.select("doc_id", "text_hash", "set_id", "n").join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id")))
     least = joined.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     return joined.join(least, "class", "left").select("doc_id", "text_hash", "set_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
