@@ -27,7 +27,7 @@ from presslake.session import read
 
 K = 10
 #: Vectors of a shard, of a leaf, trees of a shard, and the least candidates of a shard that a query looks at: a share of it and a number.
-SHARD, LEAF, TREES, SHARE, LEAST = 8192, 24, 40, 0.4, 512
+SHARD, LEAF, TREES, SHARE, LEAST = 8192, 24, 40, 0.55, 768
 
 
 class Forest:

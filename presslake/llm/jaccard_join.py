@@ -7,7 +7,7 @@
 3. Index lists: prefix shingles are sorted by list, size and position. A list is cut into blocks where
    sizes are too far apart to link; blocks of one set, and blocks whose positions leave no link
    possible, are skipped. Lists with the same sets are one list.
-4. Each set has a mark, a bitmap of its smallest hashes that bounds overlaps from above. In a list a
+4. Each set has a mark, a bitmap of its shingles that bounds overlaps from above. In a list a
    pivot is held against all others; what can link with it joins its family and needs no comparison
    with the pivot's other answers, only sets of different families are compared further. So a list of
    near copies takes about as many comparisons as it has sets, and gives fewer rows than that.
@@ -45,11 +45,11 @@ BUCKETS, SLICE = 1 << 21, 1 << 15
 BLOCK = 384
 #: Rows of an index list that a task holds; the sets of a longer list are one family, whatever their marks say.
 LIST_ROWS = 1 << 17
-#: Longs of a mark, and the hashes in it at most.
-MARK_LONGS, MARK_HASHES = 16, 384
+#: Longs of the smallest mark and shingles that it is for; four times as many shingles have a mark four times as wide.
+MARK_LONGS, MARK_SHINGLES = 16, 400
 COLUMNS = 4096
 
-ROWS = "doc_id long, text_hash long, set_id long, n int, top long, reach long, mark binary, slice int, counts binary"
+ROWS = "doc_id long, text_hash long, set_id long, n int, mark binary, slice int, counts binary"
 
 
 def bucket(values: np.ndarray) -> np.ndarray:
@@ -79,20 +79,21 @@ def total(slices: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def mark(s: np.ndarray) -> tuple[int, int, bytes]:
-    """Largest hash in the mark, the hash up to which the mark knows all of the set (both halved), and the bitmap."""
-    own = s[:MARK_HASHES]
-    bits = np.zeros(MARK_LONGS * 64, bool)
-    bits[(mix(own) >> np.uint64(64 - (MARK_LONGS * 64).bit_length() + 1)).astype(np.int64)] = True
-    top = int(own[-1] >> np.uint64(1))
-    return top, (1 << 63) - 1 if len(own) == len(s) else top, np.packbits(bits).tobytes()
+def mark(s: np.ndarray) -> bytes:
+    """The set's bitmap: 2.5 bits a shingle or more, the place of a shingle by its hash's first bits."""
+    width = MARK_LONGS * 64
+    while len(s) * MARK_LONGS * 64 > width * MARK_SHINGLES:
+        width *= 4
+    bits = np.zeros(width, bool)
+    bits[(mix(s) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
 def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """A row per document (number, size and mark of its set) and, at a task's end, the slices of its sketch."""
     source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     prepare(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("top", pa.int64()), ("reach", pa.int64()), ("mark", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("mark", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(BUCKETS, np.uint32), set()
@@ -104,14 +105,14 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 if new:
                     seen.add(number)
                     np.add.at(counts, bucket(s), 1)
-                rows.append((number, len(s), *(mark(s) if new else (None, None, None))))
-            columns = zip(*rows) if rows else [[]] * 5
+                rows.append((number, len(s), mark(s) if new else None))
+            columns = zip(*rows) if rows else [[]] * 3
             none = pa.nulls(len(rows))
             own = [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(list(c)) for c in columns), none, none]
             yield pa.record_batch([c.cast(f.type) for c, f in zip(own, schema)], schema=schema)
         slices = _slices(np.minimum(counts, 65535))
         none = pa.nulls(len(slices))
-        own = [none] * 7 + [pa.array([i for i, _ in slices]), pa.array([c for _, c in slices])]
+        own = [none] * 5 + [pa.array([i for i, _ in slices]), pa.array([c for _, c in slices])]
         yield pa.record_batch([c.cast(f.type) for c, f in zip(own, schema)], schema=schema)
 
     return source.mapInArrow(run, ROWS)
@@ -215,19 +216,37 @@ def _lists(prefixes: DataFrame, percent: int, partitions: int) -> DataFrame:
 class Marks:
     """Sizes and marks of a list's sets, held against each other."""
 
-    def __init__(self, n: np.ndarray, top: np.ndarray, reach: np.ndarray, bits: np.ndarray, percent: int):
-        self.n, self.top, self.reach, self.bits, self.percent = n.astype(np.int64), top, reach, bits, percent
+    def __init__(self, n: np.ndarray, marks: list[bytes], percent: int):
+        self.n, self.percent = n.astype(np.int64), percent
+        self.width = np.array([len(m) for m in marks])
+        self.bits: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(marks), np.int64)
+        for width in np.unique(self.width):
+            at = np.flatnonzero(self.width == width)
+            self.place[at] = np.arange(len(at))
+            self.bits[int(width)] = np.frombuffer(b"".join(marks[i] for i in at), np.uint8).reshape(len(at), width)
+
+    def _wide(self, rows: np.ndarray, width: int, to: int) -> np.ndarray:
+        """Bitmaps of rows of one width, folded to ``to`` bytes."""
+        bits = self.bits[width][self.place[rows]]
+        if width != to:
+            bits = np.packbits(np.unpackbits(bits, axis=1).reshape(len(rows), to * 8, -1).any(2), axis=1)
+        return bits.view(np.uint64)
 
     def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether sets i and j (rows, broadcast together) can link by their marks."""
-        lost_i = np.bitwise_count(self.bits[i] & ~self.bits[j]).sum(-1)
-        lost_j = np.bitwise_count(self.bits[j] & ~self.bits[i]).sum(-1)
+        """Whether sets i and j can link by sizes and marks, pair by pair."""
         n_i, n_j = self.n[i], self.n[j]
-        # a hash in i's mark that j's mark lacks is not in j, if j's mark reaches that far
-        most = np.minimum(n_i, n_j)
-        most = np.where(self.top[i] <= self.reach[j], np.minimum(most, n_i - lost_i), most)
-        most = np.where(self.top[j] <= self.reach[i], np.minimum(most, n_j - lost_j), most)
-        return most * (100 + self.percent) >= self.percent * (n_i + n_j)
+        out = np.minimum(n_i, n_j) * 100 >= self.percent * np.maximum(n_i, n_j)
+        for width_i, width_j in {*zip(self.width[i][out].tolist(), self.width[j][out].tolist())}:
+            to = min(width_i, width_j)
+            here = np.flatnonzero(out & (self.width[i] == width_i) & (self.width[j] == width_j))
+            for a in range(0, len(here), step := max(1, (1 << 22) // to)):
+                at = here[a : a + step]
+                x, y = self._wide(i[at], width_i, to), self._wide(j[at], width_j, to)
+                # a shingle whose bit the other mark lacks is not in the other set
+                most = np.minimum(n_i[at] - np.bitwise_count(x & ~y).sum(1), n_j[at] - np.bitwise_count(y & ~x).sum(1))
+                out[at] = most * (100 + self.percent) >= self.percent * (n_i[at] + n_j[at])
+        return out
 
     def families(self, rows: np.ndarray) -> list[tuple[int, int]]:
         """Pairs of rows that hang each family of the list together."""
@@ -238,7 +257,8 @@ class Marks:
                 continue
             family[at] = at
             pivots.append(at)
-            for x in np.flatnonzero((family < 0) & self.may_link(rows[at], rows)):
+            left = np.flatnonzero(family < 0)
+            for x in left[self.may_link(np.full(len(left), rows[at]), rows[left])]:
                 family[x] = at
                 out.append((int(rows[at]), int(rows[x])))
         parent = {p: p for p in pivots}
@@ -254,12 +274,11 @@ class Marks:
                 if root(p) == root(q):
                     continue
                 others = np.flatnonzero(family == q)
-                for a in range(0, len(mine), 256):
-                    some = mine[a : a + 256]
-                    hit = next((h for b in range(0, len(others), 256) if len(h := np.argwhere(self.may_link(rows[some][:, None], rows[others[b : b + 256]][None, :]))) and (h := h + [0, b]) is not None), None)
-                    if hit is not None:
+                for x in mine:
+                    hit = np.flatnonzero(self.may_link(np.full(len(others), rows[x]), rows[others]))
+                    if len(hit):
                         parent[root(p)] = root(q)
-                        out.append((int(rows[some[hit[0][0]]]), int(rows[others[hit[0][1]]])))
+                        out.append((int(rows[x]), int(rows[others[hit[0]]])))
                         break
         return out
 
@@ -268,15 +287,14 @@ def _family_edges(lists: DataFrame, marks: DataFrame, percent: int, partitions:
     """(a, b): sets of one list that can link, as few as hang the list's families together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lists_, number, n, top, reach, mark_), edges in whole_runs(batches, ["list", "set_id", "n", "top", "reach", "mark"]):
-            bits = np.frombuffer(b"".join(mark_), np.uint64).reshape(-1, MARK_LONGS)
-            marks_ = Marks(n, top, reach, bits, percent)
+        for (_, number, n, own), edges in whole_runs(batches, ["list", "set_id", "n", "mark"]):
+            held = Marks(n, own, percent)
             size = np.diff(edges)
             two = edges[:-1][size == 2]
-            two = two[marks_.may_link(two, two + 1)]
+            two = two[held.may_link(two, two + 1)]
             out = list(zip(two.tolist(), (two + 1).tolist()))
             for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
-                out += marks_.families(np.arange(a, b))
+                out += held.families(np.arange(a, b))
             if out:
                 i, j = np.array(out).T
                 yield pa.record_batch([pa.array(number[i]), pa.array(number[j])], names=["a", "b"])
@@ -284,7 +302,7 @@ def _family_edges(lists: DataFrame, marks: DataFrame, percent: int, partitions:
     prepare(lists.sparkSession)
     known = lists.filter("list is not null").select("list", "set_id").distinct().join(marks, "set_id")
     each = known.repartition(partitions, "list").sortWithinPartitions("list", "set_id")
-    return each.select("list", "set_id", "n", "top", "reach", "mark").mapInArrow(run, "a long, b long")
+    return each.select("list", "set_id", "n", "mark").mapInArrow(run, "a long, b long")
 
 
 def _needed_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
@@ -385,7 +403,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows = checkpoint(_fingerprints(docs, words))
     order = spark.sparkContext.broadcast(total(rows.filter("slice is not null").select("slice", "counts")))
     labelled = rows.filter("slice is null")
-    marks = rows.filter("mark is not null").select("set_id", "n", "top", "reach", "mark").dropDuplicates(["set_id"])
+    marks = rows.filter("mark is not null").select("set_id", "n", "mark").dropDuplicates(["set_id"])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = checkpoint(_lists(_prefixes(docs, words, percent, order), percent, partitions))
     edges = _family_edges(lists, marks, percent, partitions).unionByName(lists.filter("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")))

@@ -92,7 +92,9 @@ def search(shards: DataFrame, queries: DataFrame, step: Step, k: int, score_type
                 yield pa.record_batch([pa.array(query_ids[at]), pa.array(found), pa.array(score, kind)], names=["query_id", "vec_id", "score"])
 
     prepare(shards.sparkSession)
-    found = pairs.select("ids", "data", "dim", "query_ids", "query_data").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    partitions = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(partitions, "block", F.xxhash64("ids")).sortWithinPartitions("block")  # few and heavy rows: one by one
+    found = dealt.select("ids", "data", "dim", "query_ids", "query_data").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.col("score") if ascending else F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
