@@ -45,3 +45,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def crc_fold(doc_id, folds: int = 5):
     """The fold of a document: crc32 of its id as text, modulo ``folds``; a null id has fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of docs whose judged row meets the condition, with docs' columns, whatever they are called."""
+    names = docs.columns
+    own = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
+    return judge(own).filter(condition).select(*own.columns).toDF(*names)

@@ -171,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
 
 def score(docs: DataFrame, model: Network | float, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted; one narrow pass."""
+    docs = docs.drop("score", "predicted")  # columns of these names give way
     columns = docs.columns
 
     def start():

@@ -103,10 +103,12 @@ def mask(docs: DataFrame, repository: Column, owner: Column, copied_owners: int
 
     Only rows with candidates are shuffled. Overlapping spans are replaced as one; n_chars, if there, follows the text.
     """
+    names, known = docs.columns, ("doc_id", "text", "n_chars")
+    docs = docs.select(*(F.col(f"`{c}`").alias(c if c in known else f"c{i}") for i, c in enumerate(names)), repository.alias("repository"), owner.alias("owner"))
     text = F.coalesce("text", F.lit(""))
     hit = text.rlike(ANY)
     columns = docs.columns
-    some = _with_spans(docs.filter(hit).withColumn("text_hash", F.xxhash64(text)), find(docs.filter(hit), repository, owner, copied_owners))
+    some = _with_spans(docs.filter(hit).withColumn("text_hash", F.xxhash64(text)), find(docs.filter(hit), F.col("repository"), F.col("owner"), copied_owners))
     none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     label = lambda s: F.when(s["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE SECRET]"))
 
@@ -119,7 +121,7 @@ def mask(docs: DataFrame, repository: Column, owner: Column, copied_owners: int
     masked = some.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(done))
     if "n_chars" in columns:
         masked = masked.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return docs.filter(~hit).unionByName(masked.select(*columns))
+    return docs.filter(~hit).unionByName(masked.select(*columns)).drop("repository", "owner").toDF(*names)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

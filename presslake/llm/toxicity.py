@@ -129,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cha
 
 def score(docs: DataFrame, model: Chain | float, threshold: float = THRESHOLD) -> DataFrame:
     """docs with a probability per category (p_<category>), score (toxic) and predicted; one narrow pass."""
-    columns, names = docs.columns, [f"p_{c}" for c in CATEGORIES]
+    names = [f"p_{c}" for c in CATEGORIES]
+    docs = docs.drop(*names, "score", "predicted")  # columns of these names give way
+    columns = docs.columns
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
