@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.llm import jaccard_join, packing, quality, secrets, toxicity
+from presslake.llm.common import kept
 from presslake.session import checkpoint, read
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network predicts as label 1, in their own columns."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return kept(docs, lambda own: quality.score(own, model), "predicted = 1")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain doesn't predict as toxic."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return kept(docs, lambda own: toxicity.score(own, model), "predicted = 0")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
