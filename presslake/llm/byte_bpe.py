@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one engine per Spark partition.
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one engine per Python worker, which takes one Spark partition at a time.
 
 Each task cuts its texts into words by the vocabulary's pattern and hands the distinct words that it
 hasn't met to DuckDB. There a word is rows (word, place, left, right, next place), one per adjacent
@@ -25,7 +25,7 @@ from presslake.llm.common import documents, map_batches, texts_of
 #: Code points of the Unicode property White_Space, which the pattern's \s stands for (fixed values).
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Words whose ids a task remembers before it starts anew, and words in one recursive query.
-MEMORY, ROUND = 200_000, 50_000
+MEMORY, ROUND = 400_000, 50_000
 
 _tables: dict[str, tuple[list[bytes], pa.Table]] = {}
 
@@ -140,6 +140,16 @@ class Codec:
         db.unregister("single")
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(vocabulary: str, pattern: str) -> Codec:
+    """The Python worker's engine: later tasks of a worker find its tables and words."""
+    if (vocabulary, pattern) not in _codecs:
+        _codecs[vocabulary, pattern] = Codec(vocabulary, pattern)
+    return _codecs[vocabulary, pattern]
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded bytes of every row; with ``ids`` also the ids and the decoded text.
 
@@ -147,7 +157,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) ->
     """
 
     def start():
-        codec = Codec(vocabulary, pattern)
+        codec = codec_of(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [codec.words(t) for t in texts_of(batch)]
