@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from presslake.llm.common import documents, map_batches, prepare, texts_of
 from presslake.llm.graph import components
-from presslake.llm.shingles import mix, set_id, shingle_sets
+from presslake.llm.shingles import mix, pair_ids, set_id, shingle_sets
 from presslake.session import checkpoint
 
 #: Shingle words and percent of similarity that the query's contract asks for.
@@ -158,6 +158,21 @@ def list_blocks(n: np.ndarray, number: np.ndarray, percent: int) -> Iterator[np.
             yield block
 
 
+def _open(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether positions leave rows i and j a link: the largest overlap has shingles before the common one, and from it on."""
+    at_i, at_j, n_i, n_j = (c.astype(np.int64) for c in (pos[i], pos[j], n[i], n[j]))
+    most = np.minimum(at_i, at_j) + np.minimum(n_i - at_i, n_j - at_j)
+    return most * (100 + percent) >= percent * (n_i + n_j)
+
+
+def _pairs(first: np.ndarray, n: np.ndarray, number: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of the lists of two rows (at ``first``) in which a link is possible, sorted, and the lists' numbers."""
+    near = (number[first] != number[first + 1]) & (n[first].astype(np.int64) * 100 >= percent * n[first + 1].astype(np.int64))
+    first = first[near & _open(n, pos, first, first + 1, percent)]
+    pairs = np.sort(np.stack([number[first], number[first + 1]], axis=1), axis=1)
+    return pairs, pair_ids(pairs.view(np.uint64))
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Columns of rows sorted by the first one, and the edges of its runs, no run in two parts unless it is longer than LIST_ROWS."""
     held: list[np.ndarray] | None = None
@@ -182,27 +197,25 @@ def _lists(prefixes: DataFrame, percent: int, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: tuple[int, int] | None = None
         for (token, n, number, pos), edges in whole_runs(batches, ["token", "n", "set_id", "pos"]):
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            size = np.diff(edges)
+            goes_on = token[edges[:-1]] == chain[0] if chain else np.zeros(len(size), bool)
+            pairs, lists = _pairs(edges[:-1][(size == 2) & ~goes_on], n, number, pos, percent)
+            out: list[tuple[np.ndarray, np.ndarray]] = [(np.repeat(lists, 2), pairs.ravel())]
             chained: list[tuple[int, int]] = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            rest = (size > 2) | goes_on
+            for a, b in zip(edges[:-1][rest].tolist(), edges[1:][rest].tolist()):
                 if chain and chain[0] == token[a] or b - a > LIST_ROWS:  # a part of a list too long to hold
                     first = chain[1] if chain and chain[0] == token[a] else int(number[a])
                     chained += [(int(x), first) for x in number[a:b] if x != first]
                     chain = int(token[a]), first
                     continue
-                if b - a < 2:
-                    continue
                 for block in list_blocks(n[a:b], number[a:b], percent):
                     rows = a + block
-                    # the largest overlap that positions leave open: shingles before the common one, and from it on
-                    i, size = pos[rows].astype(np.int64), n[rows].astype(np.int64)
-                    p = int(i.argmin())
-                    most = np.minimum(i, i[p]) + np.minimum(size - i, size[p] - i[p])
-                    if len(rows) == 2 and (most * (100 + percent) < percent * (size + size[p])).any():
+                    if len(rows) == 2 and not _open(n, pos, rows[:1], rows[1:], percent)[0]:
                         continue
                     own = np.sort(number[rows])
                     out.append((np.full(len(own), set_id(own.view(np.uint64))), own))
-            if out:
+            if len(pairs) or len(out) > 1:
                 lists, members = (np.concatenate(c) for c in zip(*out))
                 table = pa.table({"list": lists, "set_id": members}).group_by(["list", "set_id"]).aggregate([])
                 none = pa.nulls(table.num_rows, pa.int64())
@@ -237,7 +250,8 @@ class Marks:
         """Whether sets i and j can link by sizes and marks, pair by pair."""
         n_i, n_j = self.n[i], self.n[j]
         out = np.minimum(n_i, n_j) * 100 >= self.percent * np.maximum(n_i, n_j)
-        for width_i, width_j in {*zip(self.width[i][out].tolist(), self.width[j][out].tolist())}:
+        for widths in np.unique(self.width[i][out] << 32 | self.width[j][out]).tolist():
+            width_i, width_j = widths >> 32, widths & 0xFFFFFFFF
             to = min(width_i, width_j)
             here = np.flatnonzero(out & (self.width[i] == width_i) & (self.width[j] == width_j))
             for a in range(0, len(here), step := max(1, (1 << 22) // to)):
@@ -261,25 +275,17 @@ class Marks:
             for x in left[self.may_link(np.full(len(left), rows[at]), rows[left])]:
                 family[x] = at
                 out.append((int(rows[at]), int(rows[x])))
-        parent = {p: p for p in pivots}
-
-        def root(p: int) -> int:
-            while parent[p] != p:
-                p = parent[p]
-            return p
-
-        for k, p in enumerate(pivots):
+        label, held = family.copy(), np.zeros(len(rows), bool)  # held: what earlier pivots answered; the pivots themselves know all later sets
+        for p in pivots:
             mine = np.flatnonzero(family == p)
-            for q in pivots[:k]:
-                if root(p) == root(q):
-                    continue
-                others = np.flatnonzero(family == q)
-                for x in mine:
-                    hit = np.flatnonzero(self.may_link(np.full(len(others), rows[x]), rows[others]))
-                    if len(hit):
-                        parent[root(p)] = root(q)
-                        out.append((int(rows[x]), int(rows[others[hit[0]]])))
-                        break
+            for x in mine if held.any() else ():
+                others = np.flatnonzero(held & (label != label[x]))
+                hits = others[self.may_link(np.full(len(others), rows[x]), rows[others])]
+                for y in hits[np.unique(label[hits], return_index=True)[1]]:
+                    out.append((int(rows[x]), int(rows[y])))
+                    label[label == label[y]] = label[x]
+            held[mine] = True
+            held[p] = False
         return out
 
 

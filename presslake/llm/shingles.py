@@ -133,3 +133,13 @@ def set_id(s: np.ndarray) -> int:
         return 0
     h = mix(np.array([s.sum() + np.uint64(len(s)) * _MARK, np.bitwise_xor.reduce(mix(s + _MARK))]))
     return int((h[0] * _STEP + h[1]).view(np.int64)) or 1
+
+
+@np.errstate(over="ignore")
+def pair_ids(pairs: np.ndarray) -> np.ndarray:
+    """set_id of every row of two."""
+    a = mix(pairs.sum(axis=1, dtype=np.uint64) + np.uint64(2) * _MARK)
+    b = mix(np.bitwise_xor.reduce(mix(pairs + _MARK), axis=1))
+    out = (a * _STEP + b).view(np.int64)
+    out[out == 0] = 1
+    return out
