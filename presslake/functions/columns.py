@@ -94,3 +94,60 @@ def trend_score(mentions: Column, engagement: Column, interactions: Column, velo
 def zoned_midnight(day: Column, zone: str) -> Column:
     """The moment at which a local day begins (DT-1)."""
     return F.to_utc_timestamp(F.to_timestamp(day), zone)
+
+
+def host(url: Column) -> Column:
+    """Host of an http or https URL in lower case, without its port; empty if there is none."""
+    return F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#:]+)", 1))
+
+
+def safe_external(url: Column) -> Column:
+    """An http or https URL whose host is neither local nor in a private network (FLT-13)."""
+    own = host(url)
+    return F.coalesce((own != "") & ~own.rlike(r"^(localhost$|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), F.lit(False))
+
+
+def domains_match(a: Column, b: Column) -> Column:
+    """Equal domains, or one a subdomain of the other; a leading www. doesn't count (FLT-12)."""
+    x, y = (F.regexp_replace(F.lower(c), r"^www\.", "") for c in (a, b))
+    return (x != "") & (y != "") & ((x == y) | x.endswith(F.concat(F.lit("."), y)) | y.endswith(F.concat(F.lit("."), x)))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences that end in a mark and white space, or in a new line; no empty one (TX-13)."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?؟…])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def string_array(value: Column) -> Column:
+    """A JSON array of strings, or else the parts between commas and new lines (SC-J1)."""
+    parts = F.filter(F.transform(F.split(value, "[،,\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(value.startswith("["), F.coalesce(F.from_json(value, "array<string>"), parts)).otherwise(parts)
+
+
+def external_key(*names: Column) -> Column:
+    """SHA-256 of the first name that isn't empty (TX-38)."""
+    return F.sha2(F.coalesce(*[F.nullif(n.cast("string"), F.lit("")) for n in names]), 256)
+
+
+def event_fingerprint(category: Column, title: Column, published: Column) -> Column:
+    """SHA-256 of category, the first ten longer title words in order of the alphabet, and the hour (TX-17)."""
+    words = F.array_sort(F.slice(F.filter(tokens(normalized(title)), lambda w: F.length(w) > 3), 1, 10))
+    return F.sha2(F.concat_ws("|", category, F.array_join(words, " "), F.substring(published, 1, 13)), 256)
+
+
+def body_fingerprint(html: Column) -> Column:
+    """SHA-256 of a page without scripts and styles, white space joined (TX-30)."""
+    bare = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", " ")
+    return F.sha2(F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, 500_000), 256)
+
+
+def freshness(hours: Column) -> Column:
+    """Label of an age (DT-8)."""
+    return F.when(hours > 168, "archive").when(hours > 48, "older").otherwise("fresh")
+
+
+def image_candidates(html: Column, most: int = 8) -> Column:
+    """URLs of a page's pictures, its social card's first (TX-29)."""
+    card = F.regexp_extract_all(html, F.lit(r"(?i)<meta[^>]*property=\"og:image\"[^>]*content=\"([^\"]+)\""), F.lit(1))
+    body = F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*\bsrc=\"([^\"]+)\""), F.lit(1))
+    return F.slice(F.array_distinct(F.concat(card, body)), 1, most)

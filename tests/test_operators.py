@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslake.functions import columns as C
 from presslake.operators import relations as R
-from presslake.sources import feeds
+from presslake.sources import feeds, pages, sinks
 from presslake.streaming import flows
 
 
@@ -54,3 +54,34 @@ def test_stream_drops_repeated_keys(spark, tmp_path):
     run = flows.first_by_key(stream, "ts", ["k"], "1 hour").writeStream.format("memory").queryName("first_keys").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(r.k for r in spark.table("first_keys").collect()) == [1, 2]
+
+
+def test_json_ld_roots_arrays_and_graphs(spark):
+    block = '<script type="application/ld+json">%s</script>'
+    html = [
+        block % '{"@type": "NewsArticle", "headline": "One", "url": "u1", "datePublished": "2024-01-02"}',
+        block % '[{"@type": ["Article", "Thing"], "headline": "Two", "@id": "u2"}, {"@type": "Person"}]' + block % "not json",
+        block % '{"@graph": [{"@type": "BlogPosting", "headline": "Three", "mainEntityOfPage": {"@id": "u3"}}, {"@type": "WebSite"}]}',
+        None,
+        "",
+    ]
+    rows = pages.json_ld(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).orderBy("page_id").collect()
+    assert [(r.page_id, r.kind, r.title, r.link, r.published) for r in rows] == [(0, "NewsArticle", "One", "u1", "2024-01-02"), (1, "Article", "Two", "u2", None), (2, "BlogPosting", "Three", "u3", None)]
+
+
+def test_written_feeds_and_sitemaps_read_back(spark, tmp_path):
+    at = datetime(2024, 1, 2, 3, 4, 5)
+    sinks.write_sitemap(spark.createDataFrame([("https://a.org/some-page", at), ("https://a.org/b?x=1&y=2", None)], "loc string, lastmod timestamp"), f"{tmp_path}/map")
+    assert sorted((r["loc"], r.lastmod, r.title) for r in feeds.sitemap(spark, f"{tmp_path}/map").collect())[1] == ("https://a.org/some-page", "2024-01-02T03:04:05Z", "some page")
+    sinks.write_rss(spark.createDataFrame([("A & B", "l", "g", "p", "<d>")], "title string, link string, guid string, pubDate string, description string"), f"{tmp_path}/rss")
+    assert [tuple(r) for r in feeds.rss(spark, f"{tmp_path}/rss").collect()] == [("g", "A & B", "l", "p", "<d>")]
+
+
+def test_domains_urls_and_arrays(spark):
+    row = spark.range(1).select(
+        C.domains_match(F.lit("WWW.a.org"), F.lit("news.a.org")).alias("sub"), C.domains_match(F.lit("ba.org"), F.lit("a.org")).alias("tail"), C.domains_match(F.lit(""), F.lit("a.org")).alias("none"),
+        C.safe_external(F.lit("http://192.168.1.1/x")).alias("private"), C.safe_external(F.lit("HTTPS://Example.org:8080/")).alias("safe"), C.safe_external(F.lit(None).cast("string")).alias("null"),
+        C.string_array(F.lit('["a, b", "c"]')).alias("json"), C.string_array(F.lit("[a، b")).alias("parts"), C.external_key(F.lit(""), F.lit("k")).alias("key"),
+    ).first()
+    assert (row.sub, row.tail, row.none, row.private, row.safe, row.null) == (True, False, False, False, True, False)
+    assert row.json == ["a, b", "c"] and row.parts == ["[a", "b"] and len(row.key) == 64
