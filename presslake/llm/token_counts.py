@@ -12,8 +12,9 @@ each; a null doc_id stays null; other columns are ignored, whatever they are cal
 
 from __future__ import annotations
 
-import heapq
 import re
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,19 @@ from presslake.llm.common import documents, map_batches, texts_of
 SPACE = "▁"
 #: Tokens beyond which a document is over the context limit.
 LIMIT = 4096
-#: Pieces whose counts a task remembers before it starts anew.
+#: Pieces whose counts a worker remembers before it starts anew.
 MEMORY = 600_000
 NORMAL, BYTE = 1, 6
 
-_loaded: dict[str, tuple[dict[str, int], bool]] = {}
+_loaded: dict[str, dict[str, int]] = {}
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    """The vocabulary's counter, which all tasks of a worker share."""
+    if path not in _counters:
+        _counters[path] = Counter(load_ranks(path))
+    return _counters[path]
 
 
 def load_ranks(path: str) -> dict[str, int]:
@@ -56,54 +65,61 @@ def load_ranks(path: str) -> dict[str, int]:
 
 
 def merge_count(piece: str, ranks: dict[str, int]) -> int:
-    """Tokens of one piece."""
+    """Tokens of one piece. The heap's numbers are rank * n + place, so the lowest rank goes first, the leftmost of equals."""
     n = len(piece)
     if n == 1:
         return 1 if piece in ranks else len(piece.encode())
-    symbol = list(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    get, heap = ranks.get, []
-    for i in range(n - 1):
-        if (rank := get(symbol[i] + symbol[i + 1])) is not None:
-            heap.append((rank, i, symbol[i + 1]))
-    heapq.heapify(heap)
-    pop, push = heapq.heappop, heapq.heappush
+    get, symbol = ranks.get, list(piece)
+    heap = [rank * n + i for i, rank in enumerate(map(get, map(add, piece, piece[1:]))) if rank is not None]
+    heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n))
     gone = 0
     while heap:
-        rank, i, right = pop(heap)
+        rank, i = divmod(heappop(heap), n)
         left, j = symbol[i], after[i]
-        if not left or j >= n or symbol[j] != right or get(left + right) != rank:
+        if not left or j >= n or get(left := left + symbol[j]) != rank:
             continue  # one side has been merged since
-        left = symbol[i] = left + right
-        symbol[j] = ""
+        symbol[i], symbol[j] = left, ""
         gone += 1
         k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            if (rank := get(left + symbol[k])) is not None:
-                push(heap, (rank, i, symbol[k]))
+        before[k] = i
+        if k < n and (rank := get(left + symbol[k])) is not None:
+            heappush(heap, rank * n + i)
         if (h := before[i]) >= 0 and (rank := get(symbol[h] + left)) is not None:
-            push(heap, (rank, h, left))
+            heappush(heap, rank * n + h)
+    if all(map(ranks.__contains__, piece)):
+        return n - gone
     return n - gone + sum(len(s.encode()) - 1 for s in symbol if s and s not in ranks)
 
 
 class Counter(dict):
-    """Unit -> count, filled as units are met; units are cut further at line ends, which no piece holds."""
+    """Unit -> count, filled as units are met; units are cut further between characters that no piece holds side by side."""
 
     def __init__(self, ranks: dict[str, int]):
         super().__init__()
         self.ranks = ranks
-        #: Characters that stand in no piece of two or more: merges never reach over them.
-        inside = {c for p in ranks if len(p) > 1 for c in p}
-        self.cut = re.compile("([^" + "".join(map(re.escape, sorted(inside))) + "])")
+        #: Neighbours in some piece: merges never reach over any others.
+        self.beside = {p[i : i + 2] for p in ranks for i in range(len(p) - 1)}
 
     def __missing__(self, unit: str) -> int:
-        parts = self.cut.split(unit)
-        count = merge_count(unit, self.ranks) if len(parts) == 1 else sum(self[p] if i % 2 == 0 else merge_count(p, self.ranks) for i, p in enumerate(parts) if p)
+        beside, first, count = self.beside, 0, 0
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in beside:
+                count += self.part(unit[first:i])
+                first = i
+        count += self.part(unit[first:])
         if len(unit) < 200:
             self[unit] = count
         return count
 
+    def part(self, unit: str) -> int:
+        """Tokens of a unit in which all neighbours stand in some piece."""
+        if (count := self.get(unit)) is None:
+            count = merge_count(unit, self.ranks)
+            if len(unit) < 200:
+                self[unit] = count
+        return count
+
     def count(self, text: str) -> int:
         if not text:
             return 0
@@ -119,7 +135,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """doc_id, n_bytes, n_tokens, over_limit of every row; one narrow pass, nothing is shuffled."""
 
     def start():
-        counter = Counter(load_ranks(vocabulary))
+        counter = counter_of(vocabulary)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
