@@ -48,6 +48,8 @@ LIST_ROWS = 1 << 17
 #: Longs of the smallest mark and shingles that it is for; four times as many shingles have a mark four times as wide.
 MARK_LONGS, MARK_SHINGLES = 16, 400
 COLUMNS = 4096
+#: A class that holds more than this part of all rows is common.
+COMMON = 1000
 
 ROWS = "doc_id long, text_hash long, set_id long, n int, mark binary, slice int, counts binary"
 
@@ -417,8 +419,14 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     sets = _needed_sets(docs, words, members)
     classes = components(_family_links(members, sets, percent)).select(F.col("id").alias("set_id"), F.col("component").alias("class"))
     joined = checkpoint(labelled.select("doc_id", "text_hash", "set_id", "n").join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id")))
-    least = joined.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "class", "left").select("doc_id", "text_hash", "set_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = checkpoint(joined.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")))
+    # fewer than COMMON classes hold more than their part of all rows: they are sent to the rows, not the rows to them
+    common = F.broadcast(least.filter(F.col("rows") > joined.count() // COMMON))
+    full = joined.filter("n > 0")
+    rest = full.join(common, "class", "left_anti").join(least, "class")
+    alone = joined.filter("n = 0").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "text_hash", "set_id", F.col("n").cast("long").alias("n_shingles"), "component_id"]
+    return full.join(common, "class").select(*columns).unionAll(rest.select(*columns)).unionAll(alone.select(*columns))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
