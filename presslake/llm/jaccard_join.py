@@ -406,7 +406,7 @@ def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, set_id, n_shingles and component_id of every row."""
+    """doc_id, text_hash, set_id, n_shingles, component_id and class (the class's number, never null) of every row."""
     spark = docs.sparkSession
     rows = checkpoint(_fingerprints(docs, words))
     order = spark.sparkContext.broadcast(total(rows.filter("slice is not null").select("slice", "counts")))
@@ -425,7 +425,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     full = joined.filter("n > 0")
     rest = full.join(common, "class", "left_anti").join(least, "class")
     alone = joined.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "text_hash", "set_id", F.col("n").cast("long").alias("n_shingles"), "component_id"]
+    columns = ["doc_id", "text_hash", "set_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "class"]
     return full.join(common, "class").select(*columns).unionAll(rest.select(*columns)).unionAll(alone.select(*columns))
 
 
@@ -434,7 +434,7 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     linked = link(docs, words, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    winners = linked.filter("n_shingles > 0").groupBy("component_id").agg(first).select("first.doc_id", "first.text_hash").unionByName(linked.filter("n_shingles = 0").select("doc_id", "text_hash").distinct())
+    winners = linked.filter("n_shingles > 0").groupBy("class").agg(first).select("first.doc_id", "first.text_hash").unionByName(linked.filter("n_shingles = 0").select("doc_id", "text_hash").distinct())
     kept = winners.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
     return hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__text_hash") == F.col("__kept_hash")), "left_semi").dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
 

@@ -82,6 +82,13 @@ def test_deduplicate_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
 
 
+def test_deduplicate_goes_by_class_not_by_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " more"), (7, c), (7, d), (8, d), (9, d + " more"), (7, c)]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.deduplicate(docs(spark, rows)).collect()), key=repr)
+    assert [(i, t[0]) for i, t in kept] == [(7, "c"), (7, "d"), (None, "a"), (None, "b")]
+
+
 def test_marks_never_hide_a_link():
     rng = np.random.default_rng(1)
     for n in (3, 50, 380, 420, 2000):
