@@ -210,6 +210,17 @@ def test_wrappers_keep_the_article_and_drop_the_rest(spark):
     assert got[90].text == "" and got[91].text == "" and got[93].text == "A\nx"
 
 
+def test_wrappers_keep_text_of_copied_pages_named_sections_and_siblings(spark):
+    page = "<title>T{i}</title><article><h1>H{i}</h1><p>P{i}</p><div class=box><p>Same on all</p></div></article>"
+    lone = "<title>Lone</title><article><h1>L</h1><p>a</p><p>b</p><blockquote>Only quote</blockquote></article>"
+    named = "<article><h2 id='search-methods'>Search</h2><section class='related-work'><p>Work</p></section><p class=notice>N</p><div class='share-buttons'>Tweet</div></article>"
+    rows = [(i, f"http://h.org/{i}", page.format(i=i)) for i in range(6)] + [(i, f"http://h.org/{i}", lone) for i in range(10, 17)]
+    rows += [(20, "http://n.org", named), (21, "http://s.org", "<main><article><p>One</p></article><article><p>Two is longer</p></article></main>")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "H3\nP3" and got[12] == "L\na\nb\nOnly quote"
+    assert got[20] == "Search\nWork\nN" and got[21] == "One\nTwo is longer"
+
+
 def labelled(spark, column):
     rng = random.Random(8)
     rows, marks = [], []
