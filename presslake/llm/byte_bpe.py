@@ -4,6 +4,9 @@ Each task cuts its texts into words by the vocabulary's pattern and hands the di
 hasn't met to DuckDB. There a word is rows (word, place, left, right, next place), one per adjacent
 pair of tokens. The recursive query joins these rows with the merge table, picks every word's
 minimum rank (leftmost first), contracts that pair, and goes on until no row of a word can merge.
+Words of more than LONG bytes keep only their live rows: each turn contracts all pairs of a word's
+minimum rank that don't overlap, from the left, up to the first whose contraction lets a lower rank
+in, so that the result is that of one pair at a time.
 Ordered aggregation over the token rows then gives each word's ids and, joined with the vocabulary's
 bytes, the decoded word. A text's ids are its words' ids in order; so are its decoded bytes.
 
@@ -26,6 +29,8 @@ from presslake.llm.common import documents, map_batches, texts_of
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Words whose ids a task remembers before it starts anew, and words in one recursive query.
 MEMORY, ROUND = 400_000, 50_000
+#: Bytes of ids and decoded words that a task remembers, longest word that the recursive query takes, its rows, and bytes of longer words at a time.
+MEMORY_BYTES, LONG, ROWS, LONG_BYTES = 48 << 20, 64, 4 << 20, 1 << 19
 
 _tables: dict[str, tuple[list[bytes], pa.Table]] = {}
 
@@ -52,6 +57,40 @@ WITH RECURSIVE pair AS (
 )
 SELECT word, place, l, r, next, turn FROM pair
 """
+#: Long words: their live pairs, the pairs that a turn contracts, and the live pairs after it.
+LIVE = "CREATE OR REPLACE TEMP TABLE live AS SELECT p.word, p.place, p.l, p.r, p.place + 1 AS next, m.merged FROM pairs p LEFT JOIN merges m ON m.l = p.l AND m.r = p.r"
+CHOOSE = """
+CREATE OR REPLACE TEMP TABLE chosen AS
+WITH candidate AS (
+    SELECT p.* FROM live p JOIN (SELECT word, min(merged) AS merged FROM live GROUP BY word) b ON b.word = p.word AND b.merged = p.merged
+), marked AS (
+    SELECT *, (lag(next) OVER (PARTITION BY word ORDER BY place) IS DISTINCT FROM place)::INTEGER AS starts FROM candidate
+), island AS (
+    SELECT *, sum(starts) OVER (PARTITION BY word ORDER BY place) AS island FROM marked
+), apart AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, island ORDER BY place) AS k FROM island) WHERE k % 2 = 1
+), beside AS (
+    SELECT a.word, a.place, a.merged, a.merged AS l, p.r FROM apart a JOIN live p ON p.word = a.word AND p.place = a.next
+    UNION ALL SELECT a.word, a.place, a.merged, p.l, a.merged FROM apart a JOIN live p ON p.word = a.word AND p.next = a.place
+    UNION ALL SELECT word, place, merged, merged, merged FROM apart
+), first_lower AS (
+    SELECT b.word, min(b.place) AS place FROM beside b JOIN merges m ON m.l = b.l AND m.r = b.r WHERE m.merged < b.merged GROUP BY b.word
+)
+SELECT a.word, a.place, a.next, a.merged FROM apart a LEFT JOIN first_lower f ON f.word = a.word WHERE f.place IS NULL OR a.place <= f.place
+"""
+TURN = """
+CREATE OR REPLACE TEMP TABLE turned AS
+WITH moved AS (
+    SELECT p.word, coalesce(x.place, p.place) AS place, coalesce(x.merged, p.l) AS l, coalesce(y.merged, p.r) AS r, p.next, p.merged,
+           x.merged IS NOT NULL OR y.merged IS NOT NULL AS changed
+    FROM live p LEFT JOIN chosen x ON x.word = p.word AND x.next = p.place LEFT JOIN chosen y ON y.word = p.word AND y.place = p.next
+    WHERE NOT EXISTS (FROM chosen c WHERE c.word = p.word AND c.place = p.place)
+)
+SELECT word, place, l, r, next, merged FROM moved WHERE NOT changed
+UNION ALL
+SELECT n.word, n.place, n.l, n.r, n.next, m.merged FROM moved n LEFT JOIN merges m ON m.l = n.l AND m.r = n.r WHERE n.changed
+"""
+LONG_TOKENS = "CREATE OR REPLACE TEMP TABLE token AS SELECT word, 0 AS place, l AS id FROM live WHERE place = 0 UNION ALL SELECT word, next, r FROM live"
 #: A word's tokens: the left of its first pair and the right of every pair, in its last generation.
 TOKENS = """
 CREATE OR REPLACE TEMP TABLE token AS
@@ -99,6 +138,7 @@ class Codec:
         self.whole = {token: i for i, token in enumerate(self.bytes) if token}
         self.words = splitter(pattern)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": False})
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
@@ -108,13 +148,26 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
+        if len(self.known) + len(new) > MEMORY or self.held > MEMORY_BYTES:
             self.known.clear()
+            self.held = 0
             new = list(words)
-        for i in range(0, len(new), ROUND):
-            self._encode(new[i : i + ROUND])
-
-    def _encode(self, words: list[str]) -> None:
+        short, long = [], []
+        for w in new:
+            (long if len(b := w.encode()) > LONG and b not in self.whole else short).append(w)
+        for group, most, cost in ((short, ROWS, lambda n: n * n // 2), (long, LONG_BYTES, lambda n: n)):
+            part, size = [], 0
+            for w in group:
+                own = cost(min(len(w.encode()), LONG) if group is short else len(w.encode()))
+                if part and (size + own > most or len(part) == ROUND):
+                    self._encode(part, group is long)
+                    part, size = [], 0
+                part.append(w)
+                size += own
+            if part:
+                self._encode(part, group is long)
+
+    def _encode(self, words: list[str], long: bool = False) -> None:
         import numpy as np
 
         raw = [w.encode() for w in words]
@@ -131,11 +184,23 @@ class Codec:
         db = self.db
         db.register("pairs", pa.table({"word": word[inner], "place": place[inner], "l": flat[inner], "r": flat[inner + 1]}))
         db.register("single", pa.table({"word": pa.array([i for i, _ in single], pa.int32()), "id": pa.array([k for _, k in single], pa.int32())}))
-        db.execute(CONTRACT)
-        db.execute(TOKENS)
+        if long:
+            db.execute(LIVE)
+            while True:
+                db.execute(CHOOSE)
+                if not db.execute("SELECT count(*) FROM chosen").fetchone()[0]:
+                    break
+                db.execute(TURN)
+                db.execute("DROP TABLE live")
+                db.execute("ALTER TABLE turned RENAME TO live")
+            db.execute(LONG_TOKENS)
+        else:
+            db.execute(CONTRACT)
+            db.execute(TOKENS)
         out = db.sql(DECODE).to_arrow_table()
         for i, text, n, decoded in zip(*(out.column(c).to_pylist() for c in ("word", "ids", "n", "decoded"))):
             self.known[words[i]] = (text, n, decoded)
+            self.held += len(text) + len(decoded)
         db.unregister("pairs")
         db.unregister("single")
 

@@ -121,6 +121,24 @@ def test_byte_bpe_equals_library_and_decodes(spark):
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest() and r.n_tokens == len(r.ids)
 
 
+def test_byte_bpe_takes_words_of_100_kb():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks, _ = byte_bpe.load_ranks(path)
+    own = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks={b: i for i, b in enumerate(ranks) if b}, special_tokens={})
+    rng = random.Random(3)
+    texts = ["x" * 100_001, "=" * 100_000, " " * 100_003, "汉" * 30_000]
+    texts += ["".join(rng.choice("abehinorst") for _ in range(n)) for n in (65, 200, 1500)] + ["".join(rng.choice(" =-_*") for _ in range(400)), "aab" * 500]
+    codec = byte_bpe.Codec(path, P.PATTERN)
+    for text in texts:
+        words = codec.words(text)
+        codec.learn(set(words))
+        found = [codec.known[w] for w in words]
+        assert [int(i) for f in found for i in f[0].split()] == own.encode_ordinary(text)
+        assert b"".join(f[2] for f in found).decode() == text
+
+
 def test_token_counts_equal_library(spark):
     import sentencepiece
 
