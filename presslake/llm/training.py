@@ -29,4 +29,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = one if picked is None else picked.unionByName(one)
     # 2 * per_class ids at most: a proven bound for the broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # an id that many rows repeat is one document, the one with the least text: tasks keep one row an id before the shuffle
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return sorted(features(texts.select("doc_id", "y", "text")).collect()), counts

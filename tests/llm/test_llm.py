@@ -252,6 +252,16 @@ def labelled(spark, column):
     return docs(spark, [*rows, (None, None), (900, ""), (901, "x " * 30000)]), spark.createDataFrame(marks, f"doc_id long, {column} int, note string")
 
 
+def test_labelled_sample_takes_one_row_of_an_id(spark):
+    from presslake.llm.training import labelled_sample
+
+    d, labels = labelled(spark, "toxic")
+    many = d.unionByName(docs(spark, [(i, f"repeated {j}") for i in range(20) for j in range(50)]))
+    rows, counts = labelled_sample(many, labels, "toxic", 400, lambda t: t)
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) == sum(counts.values()) > 250
+
+
 def test_quality_learns_and_scores_whole_texts(spark):
     d, labels = labelled(spark, "quality")
     got = {r.doc_id: r for r in quality.score(d, quality.train(d, labels, 150)).collect()}
