@@ -4,21 +4,30 @@ Each task cuts its texts into words by the vocabulary's pattern and hands the di
 hasn't met to DuckDB. There a word is rows (word, place, left, right, next place), one per adjacent
 pair of tokens. The recursive query joins these rows with the merge table, picks every word's
 minimum rank (leftmost first), contracts that pair, and goes on until no row of a word can merge.
-Words of more than LONG bytes keep only their live rows: each turn contracts all pairs of a word's
-minimum rank that don't overlap, from the left, up to the first whose contraction lets a lower rank
-in, so that the result is that of one pair at a time.
+Words of more than LONG bytes are cut into spans, which are words of their own in the recursive query;
+neighbouring spans are then joined, two by two: the tokens about a seam are contracted again from their
+bytes, and where the first and the last of them come out as before, all neighbouring tokens stand as
+the whole word's contraction leaves them (a sequence of tokens is a word's encoding if each two
+neighbours are that of their bytes); else more tokens about the seam are taken, up to both spans. So
+time and memory grow with a word's length and not with its square. What is contracted about a seam may
+itself be long: such rows are kept for the live generation only, and each turn contracts all pairs of a
+word's minimum rank that don't overlap, from the left, up to the first whose contraction lets a lower
+rank in, so that the result is that of one pair at a time.
 Ordered aggregation over the token rows then gives each word's ids and, joined with the vocabulary's
 bytes, the decoded word. A text's ids are its words' ids in order; so are its decoded bytes.
 
-Defined cases: a null text counts as empty; an empty text has 0 tokens and the digest of nothing;
-repeated rows give a row each; a null doc_id stays null; other columns are ignored.
+The engine holds ENGINE_MEMORY and spills nothing: what it takes at a time is bounded by ROWS and LONG_BYTES.
+
+Defined cases: a null text counts as empty; an empty text has 0 tokens and the digest of nothing; a
+text of one word of any length is encoded whole; repeated rows give a row each; a null doc_id stays
+null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +39,10 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Words whose ids a task remembers before it starts anew, and words in one recursive query.
 MEMORY, ROUND = 400_000, 50_000
 #: Bytes of ids and decoded words that a task remembers, longest word that the recursive query takes, its rows, and bytes of longer words at a time.
-MEMORY_BYTES, LONG, ROWS, LONG_BYTES = 48 << 20, 64, 4 << 20, 1 << 19
+MEMORY_BYTES, LONG, ROWS, LONG_BYTES = 48 << 20, 64, 1 << 21, 1 << 19
+#: Bytes of a long word's spans, and tokens on each side of a seam that are first contracted again.
+SPAN, SEAM = 48, 6
+ENGINE_MEMORY = "400MB"
 
 _tables: dict[str, tuple[list[bytes], pa.Table]] = {}
 
@@ -127,6 +139,19 @@ def splitter(pattern: str):
     return regex.compile(inside.replace(r"\s", f"[{WHITE_SPACE}]")).findall
 
 
+def parts(items: list[int], cost, most: int, many: int) -> Iterator[list[int]]:
+    """Runs of items of bounded cost and number."""
+    part, size = [], 0
+    for i in items:
+        if part and (size + cost(i) > most or len(part) == many):
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += cost(i)
+    if part:
+        yield part
+
+
 class Codec:
     """Word -> (ids as text, number of ids, decoded bytes), through DuckDB for words not met yet."""
 
@@ -139,7 +164,7 @@ class Codec:
         self.words = splitter(pattern)
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.held = 0
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": ENGINE_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
         vocab = pa.table({"id": pa.array(range(len(self.bytes)), pa.int32()), "bytes": pa.array(self.bytes, pa.binary())})
@@ -152,38 +177,34 @@ class Codec:
             self.known.clear()
             self.held = 0
             new = list(words)
-        short, long = [], []
-        for w in new:
-            (long if len(b := w.encode()) > LONG and b not in self.whole else short).append(w)
-        for group, most, cost in ((short, ROWS, lambda n: n * n // 2), (long, LONG_BYTES, lambda n: n)):
-            part, size = [], 0
-            for w in group:
-                own = cost(min(len(w.encode()), LONG) if group is short else len(w.encode()))
-                if part and (size + own > most or len(part) == ROUND):
-                    self._encode(part, group is long)
-                    part, size = [], 0
-                part.append(w)
-                size += own
-            if part:
-                self._encode(part, group is long)
-
-    def _encode(self, words: list[str], long: bool = False) -> None:
+        raw = [w.encode() for w in new]
+        whole, short, long = [], [], []
+        for i, b in enumerate(raw):
+            (whole if b in self.whole else short if len(b) <= LONG else long).append(i)
+        for part in parts(whole, lambda i: 1, ROUND, ROUND):  # a word that is a token is that token
+            self._keep([new[i] for i in part], [[self.whole[raw[i]]] for i in part])
+        for part in parts(short, lambda i: len(raw[i]) ** 2 // 2, ROWS, ROUND):
+            self._contract([raw[i] for i in part])
+            self._keep([new[i] for i in part])
+        for part in parts(long, lambda i: len(raw[i]), LONG_BYTES, ROUND):
+            self._keep([new[i] for i in part], self.joined([raw[i] for i in part]))
+
+    def _contract(self, raw: list[bytes], long: bool = False) -> None:
+        """Fills the table token with the contraction of every word."""
         import numpy as np
 
-        raw = [w.encode() for w in words]
-        ids = [self.whole.get(b) for b in raw]  # a word that is a token is that token
-        single = [(i, k) for i, k in enumerate(ids) if k is not None]
-        rest = [i for i, k in enumerate(ids) if k is None]
         table = np.zeros(256, np.int32)
         table[list(self.of_byte)] = list(self.of_byte.values())
-        flat = table[np.frombuffer(b"".join(raw[i] for i in rest), np.uint8)]
-        size = np.array([len(raw[i]) for i in rest], np.int64)
-        word = np.repeat(np.array(rest, np.int32), size)
-        place = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        flat = table[np.frombuffer(b"".join(raw), np.uint8)]
+        size = np.array([len(b) for b in raw], np.int64)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        first = np.cumsum(size) - size
+        place = (np.arange(len(flat)) - np.repeat(first, size)).astype(np.int32)
         inner = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.array([], int)
+        one = np.flatnonzero(size == 1)
         db = self.db
         db.register("pairs", pa.table({"word": word[inner], "place": place[inner], "l": flat[inner], "r": flat[inner + 1]}))
-        db.register("single", pa.table({"word": pa.array([i for i, _ in single], pa.int32()), "id": pa.array([k for _, k in single], pa.int32())}))
+        db.register("single", pa.table({"word": one.astype(np.int32), "id": flat[first[one]]}))
         if long:
             db.execute(LIVE)
             while True:
@@ -197,12 +218,58 @@ class Codec:
         else:
             db.execute(CONTRACT)
             db.execute(TOKENS)
-        out = db.sql(DECODE).to_arrow_table()
+        db.unregister("pairs")
+        db.unregister("single")
+
+    def contracted(self, raw: list[bytes]) -> list[list[int]]:
+        """The tokens of every word."""
+        out: list[list[int]] = [[]] * len(raw)
+        short, long = [i for i, b in enumerate(raw) if len(b) <= LONG], [i for i, b in enumerate(raw) if len(b) > LONG]
+        for group, most, cost in ((short, ROWS, lambda i: len(raw[i]) ** 2 // 2), (long, LONG_BYTES, lambda i: len(raw[i]))):
+            for part in parts(group, cost, most, ROUND):
+                self._contract([raw[i] for i in part], group is long)
+                for i, ids in self.db.execute("SELECT word, list(id ORDER BY place) FROM token GROUP BY word").fetchall():
+                    out[part[i]] = ids
+        return out
+
+    def joined(self, raw: list[bytes]) -> list[list[int]]:
+        """The tokens of long words, from their spans."""
+        cut = [[b[a : a + SPAN] for a in range(0, len(b), SPAN)] for b in raw]
+        found = iter(self.contracted([span for spans in cut for span in spans]))
+        own = [[next(found) for _ in spans] for spans in cut]
+        text = lambda ids: b"".join(self.bytes[i] for i in ids)
+        while any(len(spans) > 1 for spans in own):
+            seams = [(w, k) for w, spans in enumerate(own) for k in range(0, len(spans) - 1, 2)]
+            done: dict[tuple[int, int], list[int]] = {}
+            m = SEAM
+            while seams:
+                sides = [(own[w][k][-m:], own[w][k + 1][:m]) for w, k in seams]
+                again = self.contracted([text(a) + text(b) for a, b in sides])
+                left = []
+                for (w, k), (a, b), ids in zip(seams, sides, again):
+                    one, other = own[w][k], own[w][k + 1]
+                    if (len(a) == len(one) or ids[0] == a[0]) and (len(b) == len(other) or ids[-1] == b[-1]):
+                        done[w, k] = one[: len(one) - len(a)] + ids + other[len(b) :]
+                    else:
+                        left.append((w, k))
+                seams, m = left, 2 * m
+            own = [[done[w, k] if (w, k) in done else spans[k] for k in range(0, len(spans), 2)] for w, spans in enumerate(own)]
+        return [spans[0] for spans in own]
+
+    def _keep(self, words: list[str], ids: list[list[int]] | None = None) -> None:
+        """Remembers the words of the table token, or of ``ids``, with their ids and decoded bytes."""
+        import numpy as np
+
+        if ids is not None:
+            size = np.array([len(i) for i in ids], np.int64)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            self.db.register("tokens_in", pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), size), "place": place.astype(np.int32), "id": np.concatenate([np.array(i, np.int32) for i in ids])}))
+            self.db.execute("CREATE OR REPLACE TEMP TABLE token AS FROM tokens_in")
+            self.db.unregister("tokens_in")
+        out = self.db.sql(DECODE).to_arrow_table()
         for i, text, n, decoded in zip(*(out.column(c).to_pylist() for c in ("word", "ids", "n", "decoded"))):
             self.known[words[i]] = (text, n, decoded)
             self.held += len(text) + len(decoded)
-        db.unregister("pairs")
-        db.unregister("single")
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -1,18 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length, in bulk-synchronous steps.
 
-Documents are tokenised in one narrow pass; what goes on is one small row per piece. The pieces are
-range-sorted by length (ties by document), so that a piece's place in the sorted list follows from
-its partition's offset and its place there. Both sorted lists, of pieces and of gaps, are kept as
-runs of equal numbers: lengths are integers up to the capacity, so there are at most that many runs
-however large the corpus is. A step sweeps the runs: the longest pieces left take their successor,
-the smallest gap that holds them; where many want one run of gaps, rank decides; the gaps shrink, and
-the sweep is repeated until no piece is left. Pieces that have no successor open sequences. The
-result of the sweeps is a bounded list (run of pieces, ranks from-to, first sequence, offset), by
-which every task of the sorted table places its own pieces: nothing is packed in one task.
+Documents are tokenised in one narrow pass; what goes on is one small row per piece. Pieces are packed
+class by class, longest first (CLASSES). A step is a successor sweep over two tables at once: the pieces
+of the class and the gaps of the open sequences are range-sorted by size, longest first, gaps before
+pieces of their size. Read in this order a gap opens a bracket and a piece closes the last one that is
+open, so that the longest pieces are first to take the smallest gap that holds them; a piece's rank
+decides where several want the same gap. Brackets are matched without a driver or a single task: a
+running sum over the range partitions gives every row its depth, and a piece's gap is the row before it
+at the same depth. The rows of one depth are few however large the tables are, as depth rises and falls
+once per size. Matched gaps shrink, and the sweep is repeated until few pieces find a gap. Pieces that
+have no successor then open sequences together: as many as any pieces of the class fit, in the order of
+their rank, or as many of one length as fit, what is left of the lengths by a running sum.
+
+Where a class has more pieces than there are gaps, a gap takes part as several slots of the class's
+length. Places in a sequence are dealt out at the end, longest piece first.
 
 Defined cases: a null text counts as empty; an empty text is its end token alone; repeated rows are
-packed each for itself; a null doc_id stays null; an empty table gives no rows; other columns are
-ignored.
+packed each for itself; a null doc_id stays null; pieces of equal length are told apart by a row
+number, so that ties have one result for one reading of the table; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +26,12 @@ from __future__ import annotations
 import base64
 import itertools
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +40,12 @@ from presslake.session import checkpoint
 
 CAPACITY, END_ID = 1024, 2
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Longest pieces of the classes, as parts of the capacity; the first class, of longer ones, opens sequences of one piece each.
+CLASSES = (2, 3, 4, 8, 32)
+#: Up to as many pieces to a sequence, any of a class fit; beyond, those of one length are put together.
+SHORT = 4
+#: Sweeps go on while this part of a class's pieces finds a gap.
+FEW = 50
 
 _encoders: dict = {}
 
@@ -70,70 +83,127 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, special: str = "<|end
     return map_batches(docs.select("doc_id", "text"), PIECE, start)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, end rank, first sequence, offset) of best fit, longest pieces first."""
-    gaps: list[deque[tuple[int, int]]] = [deque() for _ in range(capacity + 1)]  # by size: runs of sequences from-to
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        size = length
-        while left and size < capacity:
-            if not gaps[size]:
-                size += 1
-                continue
-            a, b = gaps[size].popleft()
-            took = min(left, b - a)
-            plan.append((length, rank, rank + took, a, capacity - size))
-            if a + took < b:
-                gaps[size].appendleft((a + took, b))
-            gaps[size - length].append((a, a + took))
-            rank, left = rank + took, left - took
-            size = max(length, size - length) if size - length >= length else size
-        each = capacity // length
-        for width, deep in ((left // each, each), (1, left % each)):
-            if width and deep:
-                for k in range(deep):
-                    plan.append((length, rank, rank + width, opened, k * length))
-                    rank += width
-                gaps[capacity - deep * length].append((opened, opened + width))
-                opened += width
-    return plan
+def running(df: DataFrame, keys: list, value, partitions: int) -> DataFrame:
+    """df, range-sorted by ``keys``, with the running sum of ``value`` (total) and the least that it, or 0, has been with the row (low) and before it (low_before)."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, low, part = 0, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            if batch.num_rows:
+                sums = total + np.cumsum(batch.column("value").to_numpy())
+                lows = np.minimum(low, np.minimum.accumulate(sums))
+                own = np.full(len(sums), part, np.int32), sums, lows, np.concatenate([[low], lows[:-1]])
+                yield pa.record_batch([*(batch.column(c) for c in names), *map(pa.array, own)], names=[*names, "part", "sums", "lows", "before"])
+                total, low = int(sums[-1]), int(lows[-1])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    valued = df.withColumn("value", value.cast("long"))
+    ranged = valued.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    here = checkpoint(ranged.mapInArrow(run, f"{fields}, part int, sums long, lows long, before long"))
+    # a row per partition: the sum of the partitions before it, and how low they went
+    ends = here.groupBy("part").agg(F.sum(value).alias("sum"), F.min("lows").alias("low"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("shift", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+    ends = ends.withColumn("floor", F.coalesce(F.min(F.col("shift") + F.col("low")).over(earlier), F.lit(0))).select("part", "shift", "floor")
+    both = here.join(F.broadcast(ends), "part")
+    least = lambda c: F.least(F.col("floor"), F.col("shift") + F.col(c))
+    return both.select(*names, (F.col("shift") + F.col("sums")).alias("total"), least("lows").alias("low"), least("before").alias("low_before"))
+
+
+ROW = ["is_piece", "size", "key", "slot", "doc_id", "piece", "start", "ids_crc32"]
+
+
+def order() -> list:
+    return [F.col("size").desc(), F.col("is_piece"), F.col("key"), F.col("slot")]
+
+
+def sweep(gaps: DataFrame, left: DataFrame, partitions: int) -> DataFrame:
+    """One step: rows of gaps (key is the sequence) and pieces, those that found each other with the other's size and key; ``missed`` ranks the pieces that found none."""
+    both = gaps.unionByName(left)
+    ranged = running(both, order(), F.when(F.col("is_piece"), -1).otherwise(1), partitions)
+    missed = F.col("is_piece") & (F.col("low") < F.col("low_before"))
+    depth = F.col("total") - F.col("low") + F.col("is_piece").cast("int")
+    level = Window.partitionBy("depth").orderBy(*order())
+    found = ranged.filter(~missed).withColumn("depth", depth)
+    # along a depth gaps and pieces alternate, a gap first
+    found = found.select(*ROW, *(F.when(F.col("is_piece"), F.lag(c).over(level)).otherwise(F.lead(c).over(level)).alias(f"other_{c}") for c in ("size", "key")), F.lit(None).cast("long").alias("missed"))
+    none = F.lit(None)
+    return checkpoint(found.unionByName(ranged.filter(missed).select(*ROW, none.cast("long").alias("other_size"), none.cast("long").alias("other_key"), (-F.col("low")).alias("missed"))))
+
+
+def _gaps(sequences: DataFrame) -> DataFrame:
+    """Rows of gaps from (key, size)."""
+    none = F.lit(None)
+    return sequences.select(F.lit(False).alias("is_piece"), "size", "key", F.lit(0).alias("slot"), none.cast("long").alias("doc_id"), none.cast("int").alias("piece"), none.cast("long").alias("start"), none.cast("long").alias("ids_crc32"))
+
+
+def _placed(rows: DataFrame, sequence) -> DataFrame:
+    return rows.select("doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", "key", sequence.alias("sequence_id"))
+
+
+def grouped(left: DataFrame, number: int, fits: int, high: int, capacity: int, partitions: int) -> list[DataFrame]:
+    """Pieces that found no gap (``missed`` ranks them), put together in new sequences (column sequence)."""
+    base = number << 50
+    if fits < SHORT:  # any so many of this class fit
+        return [left.withColumn("sequence", -1 - base - F.floor((F.col("missed") - 1) / fits))]
+    runs = left.groupBy("size").agg(F.min("missed").alias("first"), F.count("*").alias("many"))  # a row per length
+    each = F.floor(F.lit(capacity) / F.col("size"))
+    ranked = left.join(F.broadcast(runs), "size").withColumns({"rank": F.col("missed") - F.col("first"), "each": each})
+    whole = F.col("rank") < F.col("many") - F.col("many") % F.col("each")
+    equal = ranked.filter(whole).withColumn("sequence", -1 - base - F.col("size") * (1 << 39) - F.floor(F.col("rank") / F.col("each")))
+    rest = running(ranked.filter(~whole).select(*ROW), order(), F.col("size"), partitions)  # fewer than ``each`` of every length
+    mixed = rest.withColumn("sequence", -1 - base - F.floor((F.col("total") - F.col("size")) / (capacity - high + 1)))
+    return [equal, mixed]
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to the pieces."""
     spark = parts.sparkSession
     prepare(spark)
-    parts = checkpoint(parts)
-    ranged = checkpoint(parts.repartitionByRange(F.col("length").desc(), "doc_id", "piece").withColumn("part", F.spark_partition_id()))
-    here = ranged.groupBy("part", "length").agg(F.count("*").alias("n"))
-    # ranks in the sorted list: a run's pieces in earlier partitions come first
-    before = here.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
-    starts: dict[int, dict[int, int]] = {}
-    counts: dict[int, int] = {}
-    for part, length, n, first in before.collect():  # a row per partition and per run: range partitions share at most one run with the next
-        starts.setdefault(part, {})[length] = first
-        counts[length] = counts.get(length, 0) + n
-    plan = np.array(sorted(sweep(counts, capacity)), np.int64).reshape(-1, 5)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        key = plan[:, 0] * (1 << 44) + plan[:, 1]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            length, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "part"))
-            rank = np.empty(len(length), np.int64)
-            for run in np.unique(length):
-                at = np.flatnonzero(length == run)
-                if run not in seen:
-                    seen[run] = starts[int(part[0])][int(run)]
-                rank[at] = seen[run] + np.arange(len(at))
-                seen[run] += len(at)
-            row = plan[np.searchsorted(key, length * (1 << 44) + rank, side="right") - 1]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranged.mapInArrow(place, f"{PIECE}, sequence_id long, offset long")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = checkpoint(parts.withColumn("key", F.monotonically_increasing_id()))
+    all_pieces = numbered.select(F.lit(True).alias("is_piece"), F.col("length").alias("size"), "key", F.lit(0).alias("slot"), "doc_id", "piece", "start", "ids_crc32")
+    within = lambda low, high: (F.col("size") > low) & (F.col("size") <= high)
+    edges = [capacity // c for c in CLASSES if capacity // c] + [0]
+    counts = all_pieces.agg(*(F.count_if(within(low, high)) for high, low in itertools.pairwise(edges))).first()
+    alone = all_pieces.filter(F.col("size") > edges[0])
+    done = [_placed(alone, F.col("key"))]
+    gaps = _gaps(alone.filter(F.col("size") < capacity).select((F.lit(capacity) - F.col("size")).alias("size"), "key"))
+    for number, ((high, low), wanted) in enumerate(zip(itertools.pairwise(edges), counts)):
+        if not wanted:
+            continue
+        left, idle = all_pieces.filter(within(low, high)), [gaps.filter(within(0, low))]
+        gaps = gaps.filter(F.col("size") > low)
+        n_gaps = gaps.count()
+        while True:
+            each = -(-wanted // n_gaps) if n_gaps else 1  # slots of a gap at most: slots are no more than gaps and pieces together
+            if each > 1:
+                slots = F.greatest(F.lit(1), F.least(F.floor(F.col("size") / high), F.lit(each))).cast("int")
+                last = F.col("slot") + 1 == F.col("slots")
+                dealt = gaps.withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+                dealt = dealt.withColumn("size", F.when(last, F.col("size") - (F.col("slots") - 1) * high).otherwise(F.lit(high).cast("long"))).select(*ROW)
+            else:
+                dealt = gaps
+            swept = sweep(dealt, left, partitions)
+            done.append(_placed(swept.filter("is_piece and missed is null"), F.col("other_key")))
+            left = swept.filter("missed is not null")
+            after = F.col("size") - F.coalesce("other_size", F.lit(0))
+            gaps = swept.filter(~F.col("is_piece")).withColumn("size", after)
+            gaps = (_gaps(gaps.groupBy("key").agg(F.sum("size").alias("size"))) if each > 1 else gaps).select(*ROW)
+            idle.append(gaps.filter(within(0, low)))
+            gaps = gaps.filter(F.col("size") > low)
+            rest, n_gaps = swept.agg(F.count("missed"), F.count_if(~F.col("is_piece") & ((after > low) | (F.lit(each) > 1)) & (F.col("slot") == 0))).first()
+            if not rest or not n_gaps or (wanted - rest) * FEW < rest:
+                break
+            left, wanted = left.select(*ROW), rest
+        for group in grouped(left, number, capacity // high, high, capacity, partitions) if rest else ():
+            done.append(_placed(group, F.col("sequence")))
+            idle.append(_gaps(group.groupBy(F.col("sequence").alias("key")).agg((F.lit(capacity) - F.sum("size")).alias("size"))))
+        gaps = checkpoint(reduce(DataFrame.unionByName, idle, gaps).coalesce(partitions)) if low else gaps
+    together = reduce(DataFrame.unionByName, done)
+    so_far = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "key")
+    return together.withColumn("offset", F.sum("length").over(so_far) - F.col("length")).drop("key")
 
 
 def best_fit(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
