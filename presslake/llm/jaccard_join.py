@@ -7,14 +7,16 @@
 3. Index lists: prefix shingles are sorted by list, size and position. A list is cut into blocks where
    sizes are too far apart to link; blocks of one set, and blocks whose positions leave no link
    possible, are skipped. Lists with the same sets are one list.
-4. Each set has a mark, a bitmap of its shingles that bounds overlaps from above. In a list a
-   pivot is held against all others; what can link with it joins its family and needs no comparison
-   with the pivot's other answers, only sets of different families are compared further. So a list of
-   near copies takes about as many comparisons as it has sets, and gives fewer rows than that.
+4. Each set has a mark, a bitmap of its shingles that bounds overlaps from above. A list's first set,
+   its pivot, is held against all others without gathering the list: each row meets the pivot's mark by
+   a join. What can link with it joins its family and needs no comparison with the pivot's other
+   answers; only lists in which some can't are gathered, and there sets of different families are
+   compared further. So a list of near copies takes about as many comparisons as it has sets.
 5. In a family every set's overlaps are derived from its pivot's: |S & T| = |P| + <P, dS> + <P, dT> +
-   <dS, dT>, where dS is the small difference of S from P. A family gives no more links than join its
-   sets. Families of any size are cut into bounded blocks, and each pair of blocks is a unit; no pair
-   is left out.
+   <dS, dT>, where dS is the small difference of S from P. Families of any size are cut into bounded
+   blocks. First each block is compared with the family's pivot, its smallest set; sets that link with
+   it are one class and aren't compared with each other. Then each block meets the blocks of those that
+   don't. A unit gives no more links than join its sets; no pair of different classes is left out.
 6. Connected components of the links are the classes.
 
 Defined cases: a null text counts as empty; an empty set is linked with nothing and is its own
@@ -293,24 +295,38 @@ class Marks:
 
 def _family_edges(lists: DataFrame, marks: DataFrame, percent: int, partitions: int) -> DataFrame:
     """(a, b): sets of one list that can link, as few as hang the list's families together."""
+    prepare(lists.sparkSession)
+    known = checkpoint(lists.filter("list is not null").select("list", "set_id").distinct().join(marks, "set_id"))
+    first = known.groupBy("list").agg(F.min_by(F.struct("set_id", "n", "mark"), "set_id").alias("pivot"))
+    each = known.join(first, "list").filter(F.col("set_id") != F.col("pivot.set_id"))
+    rows = each.select("list", "set_id", "n", "mark", F.col("pivot.set_id").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.mark").alias("other_mark"))
+
+    def held_to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n", "other_n")])
+            own = Marks(n, batch.column("mark").to_pylist() + batch.column("other_mark").to_pylist(), percent)
+            linked = own.may_link(np.arange(m), np.arange(m) + m)
+            yield pa.record_batch([batch.column("list"), batch.column("set_id"), batch.column("other"), pa.array(linked)], names=["list", "a", "b", "linked"])
+
+    answered = checkpoint(rows.mapInArrow(held_to_pivot, "list long, a long, b long, linked boolean"))
+    mixed = answered.filter(~F.col("linked")).select("list").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, number, n, own), edges in whole_runs(batches, ["list", "set_id", "n", "mark"]):
             held = Marks(n, own, percent)
-            size = np.diff(edges)
-            two = edges[:-1][size == 2]
-            two = two[held.may_link(two, two + 1)]
-            out = list(zip(two.tolist(), (two + 1).tolist()))
-            for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
+            out = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 out += held.families(np.arange(a, b))
             if out:
                 i, j = np.array(out).T
                 yield pa.record_batch([pa.array(number[i]), pa.array(number[j])], names=["a", "b"])
 
-    prepare(lists.sparkSession)
-    known = lists.filter("list is not null").select("list", "set_id").distinct().join(marks, "set_id")
-    each = known.repartition(partitions, "list").sortWithinPartitions("list", "set_id")
-    return each.select("list", "set_id", "n", "mark").mapInArrow(run, "a long, b long")
+    gathered = known.join(mixed, "list", "left_semi").repartition(partitions, "list").sortWithinPartitions("list", "set_id")
+    further = gathered.select("list", "set_id", "n", "mark").mapInArrow(run, "a long, b long")
+    return answered.filter("linked").select("a", "b").unionByName(further)
 
 
 def _needed_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
@@ -368,8 +384,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs (rows) that link, as few as join all that are linked."""
+def joining_links(sets: list[np.ndarray], percent: int, together: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (rows) that link, as few as join all that are linked; rows of ``together`` are joined already."""
     parent = list(range(len(sets)))
 
     def root(c: int) -> int:
@@ -378,6 +394,10 @@ def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
             c = parent[c]
         return c
 
+    if together is not None and together.any():
+        same = np.flatnonzero(together).tolist()
+        for c in same:
+            parent[c] = same[0]
     size = np.array([len(s) for s in sets])
     both = overlaps(sets)
     linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
@@ -391,18 +411,43 @@ def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
 
 def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside families, as few as join all that are linked. members: (family, set_id)."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("set_id").alias("pivot"))
     blocked = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    # a family of one block is one unit; of more, each pair of blocks is
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = blocked.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id")
+    known = checkpoint(blocked.join(sets, "set_id"))
+    pivots = known.filter("set_id = pivot").select("family", F.col("shingles").alias("pivot_shingles"))
+    rows = known.filter("set_id <> pivot").join(pivots, "family").select("family", "set_id", "pivot", "shingles", "pivot_shingles")
+
+    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, None
+        for batch in batches:
+            linked = []
+            for family, s, p in zip(*(batch.column(c).to_pylist() for c in ("family", "shingles", "pivot_shingles"))):
+                if family != last:
+                    last, pivot = family, np.frombuffer(p, np.uint64)
+                own = np.frombuffer(s, np.uint64)
+                at = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
+                both = int((pivot[at] == own).sum())
+                linked.append(100 * both >= percent * (len(own) + len(pivot) - both))
+            if linked:
+                yield pa.record_batch([batch.column("family"), batch.column("set_id"), batch.column("pivot"), pa.array(linked)], names=["family", "a", "b", "linked"])
+
+    answered = checkpoint(rows.mapInArrow(with_pivot, "family long, a long, b long, linked boolean"))
+    apart = answered.filter(~F.col("linked"))
+    # only blocks of sets that don't link with the pivot meet all blocks
+    home = apart.select("family", F.col("a").alias("set_id")).join(sizes, "family").select("family", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("asks")).distinct()
+    joined = known.join(answered.filter("linked").select(F.col("a").alias("set_id"), F.lit(True).alias("linked")), "set_id", "left").withColumn("linked", F.coalesce("linked", F.col("set_id") == F.col("pivot")))
+    unlinked = joined.filter(~F.col("linked")).select("family", F.col("block").alias("asks"), F.lit(-1).alias("block"), "set_id", "shingles", "linked")
+    met = joined.join(home, "family").select("family", "asks", "block", "set_id", "shingles", "linked")
+    # the unlinked sets of a block go to each unit of that block; a unit holds them and one block
+    spread = unlinked.join(sizes, "family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = met.unionByName(spread.filter("asks <> block").select("family", "asks", "block", "set_id", "shingles", "linked"))
 
     def run(table):
         numbers = table.column("set_id").to_pylist()
-        links = joining_links([np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()], percent)
+        links = joining_links([np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()], percent, np.array(table.column("linked").to_pylist(), bool))
         return pa.table({"a": pa.array([numbers[i] for i, _ in links], pa.int64()), "b": pa.array([numbers[j] for _, j in links], pa.int64())})
 
-    return units.join(sets, "set_id").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+    return answered.filter("linked").select("a", "b").unionByName(units.groupBy("family", "asks", "block").applyInArrow(run, "a long, b long"))
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -430,13 +475,21 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; columns stay. Rows that repeat both id and text are one document."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    linked = link(docs, words, percent)
+    """One document of each class, the one with the smallest doc_id; columns stay, whatever they are called.
+
+    Rows that repeat both id and text are one document. A null text counts as empty, and documents without
+    words are nobody's copies; a null id takes part and comes after all others. Texts are shuffled once,
+    by a key of id and text, to keep one row of each and to meet the chosen keys; repeated rows are put
+    together before that.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = lambda doc_id, hash_: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), hash_.cast("string"))
+    linked = link(docs.select("doc_id", "text"), words, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    winners = linked.filter("n_shingles > 0").groupBy("class").agg(first).select("first.doc_id", "first.text_hash").unionByName(linked.filter("n_shingles = 0").select("doc_id", "text_hash").distinct())
-    kept = winners.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
-    return hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__text_hash") == F.col("__kept_hash")), "left_semi").dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    winners = linked.filter("n_shingles > 0").groupBy("class").agg(first).select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key"))
+    alone = linked.filter("n_shingles = 0").select(key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    rows = docs.select(key(F.col("doc_id"), text_hash).alias("key"), F.struct("*").alias("row")).dropDuplicates(["key"])
+    return rows.join(winners.unionByName(alone), "key", "left_semi").select("row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

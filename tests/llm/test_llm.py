@@ -74,6 +74,30 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == classes(rows, 4, 85)
 
 
+def test_lists_longer_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(90)]
+        for i in range(40):
+            copy = list(base)
+            for _ in range(rng.randrange(7)):
+                copy[rng.randrange(90)] = f"x{rng.randrange(20)}"
+            rows.append((g * 100 + i, " ".join(copy)))
+    got = jaccard_join.link(docs(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == classes(rows, 4, 85)
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark):
+    text = " ".join(f"t{i}" for i in range(100))
+    d = docs(spark, [(1, text), (1, text), (2, text + " more"), (3, "another text of a few words")]).withColumnsRenamed({"score": "key", "mark": "__kept_id"}).selectExpr("*", "777 as row", "5 as class")
+    kept = jaccard_join.deduplicate(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id, r.row, r["key"], r["__kept_id"], r["class"]) for r in kept.collect()) == [(1, 777, 0.5, "x", 5), (3, 777, 0.5, "x", 5)]
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     text = " ".join(f"t{i}" for i in range(100))
     rows = [(1, text), (2, text), (3, text + " more"), (4, "something else altogether that is new"), (5, None), (5, None)]
@@ -203,6 +227,30 @@ def test_neighbours_recall(spark):
 
 
 
+def test_neighbours_of_clustered_vectors_look_at_few(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24)) * 20
+    rows = [(i, [float(x) for x in centres[i % 60] + rng.normal(size=24)]) for i in range(6000)]
+    df = spark.createDataFrame([*rows, (6000, rows[5][1]), (6001, rows[5][1]), (6002, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    v = vectors.valid(df, "vec_id", "embedding", zero_too=False)
+    layout = vectors.lay_out(v, 512)
+    share = ann.measure(layout.cells[24], 10)
+    data = np.array([x for _, x in rows[:200]])
+    seen = layout.cells[24].margins(data) <= share[0] * ann.kth_distances(layout.cells[24], np.arange(200), data, 10)[:, None]
+    assert layout.groups > 8 and seen.mean() < 0.3
+    got = {}
+    for r in ann.neighbours(v, v.filter("vec_id % 100 = 0"), shard=512).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    own = [(r.vec_id, np.array(r.vector)) for r in v.collect() if len(r.vector) == 24]
+    hit = total = 0
+    for q, x in own:
+        if q % 100 == 0:
+            best = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in own if i != q)[:10]
+            hit, total = hit + len({i for _, i in best} & {i for _, i, _ in got[q]}), total + len(best)
+            assert sorted(got[q]) == [(k + 1, i, s) for k, (s, i) in enumerate(sorted((s, i) for _, i, s in got[q]))]
+    assert hit / total >= 0.95 and 6000 in got
+
+
 def labelled(spark, column):
     rng = random.Random(8)
     rows, marks = [], []
