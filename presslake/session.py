@@ -42,10 +42,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the cluster names in spark.checkpoint.dir."""
+    """Cut the lineage in the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Without that setting only a local session has a folder of its own; on a cluster it would be a disk
+    that the other machines don't see.
+    """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that checkpoint() gave and that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
