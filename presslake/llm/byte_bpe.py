@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from presslake.llm.common import documents, map_batches, texts_of
+from presslake.llm.common import vocabulary as shipped
 
 #: Code points of the Unicode property White_Space, which the pattern's \s stands for (fixed values).
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -287,9 +288,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) ->
 
     One narrow pass: texts aren't shuffled, and what a task holds is bounded by a batch and MEMORY words.
     """
+    place = shipped(docs.sparkSession, vocabulary)
 
     def start():
-        codec = codec_of(vocabulary, pattern)
+        codec = codec_of(place(), pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [codec.words(t) for t in texts_of(batch)]

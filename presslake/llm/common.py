@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def vocabulary(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Sends a vocabulary file to the workers; the function gives its place there."""
+    name = os.path.basename(path)
+    spark.sparkContext.addFile(path)
+    return lambda: SparkFiles.get(name)
+
+
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with per-task set-up: ``start()`` runs once a task and returns the function for a batch."""
     prepare(df.sparkSession)

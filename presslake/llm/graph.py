@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslake.session import checkpoint
+from presslake.session import checkpoint, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        own = checkpoint(small.distinct())
+        old, own = own, checkpoint(small.distinct())
+        release(old)
         now = own.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("a")).first()
         if now == before or now[0] == now[2] and not own.join(own.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             break  # every node has one parent, and no parent has one

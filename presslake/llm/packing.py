@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslake.llm.common import documents, map_batches, prepare, texts_of
+from presslake.llm.common import vocabulary as shipped
 from presslake.session import checkpoint
 
 CAPACITY, END_ID = 1024, 2
@@ -64,9 +65,10 @@ def encoder(vocabulary: str, pattern: str, special: str, special_id: int):
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, special: str = "<|endoftext|>", special_id: int = 50256, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every document's ids and end token, cut into pieces of at most ``capacity``; only the first piece may be shorter."""
+    place = shipped(docs.sparkSession, vocabulary)
 
     def start():
-        encode = encoder(vocabulary, pattern, special, special_id)
+        encode = encoder(place(), pattern, special, special_id)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []

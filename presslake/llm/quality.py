@@ -7,11 +7,13 @@ through one logistic unit to a probability. A byte's share of a filter's respons
 value and place alone, so that a filter is WIDTH tables of 256 numbers, and scoring is table look-ups.
 
 The network is trained by gradient steps on a bounded sample of labelled documents (PER_CLASS of each
-class, of each at most TRAIN_BYTES bytes, evenly spread chunks of a longer one), with weights that
-restore the classes' shares. Documents of the held-out fold are never learned from; labels, language,
+class, whole texts), with weights that restore the classes' shares. Documents of the held-out fold are never learned from; labels, language,
 source and id are no inputs of a score.
 
-Defined cases: a null text counts as empty; an empty text gets the score of a text without responses;
+A zero byte holds nothing: its part in every filter is zero, so that what fills up a text's last block
+says nothing.
+
+Defined cases: a null text counts as empty; an empty text is scored as one of zero bytes alone;
 repeated rows give a row each, alike; a null doc_id has fold 0; without labels of both classes every
 score is their share (0.5 without labels); an empty table gives no rows; other columns are ignored.
 """
@@ -30,21 +32,12 @@ from presslake.session import read
 WIDTH, STRIDE, FILTERS, EMBEDDING = 8, 2, 16, 6
 #: Positions of a block; a chunk is two blocks.
 BLOCK = 64
-PER_CLASS, TRAIN_BYTES, EPOCHS, BATCH = 1200, 6144, 14, 32
+PER_CLASS, EPOCHS, BATCH = 1200, 14, 32
 THRESHOLD = 0.3
 #: Bytes whose responses are computed at a time.
 SPAN = BLOCK * STRIDE * 32
 
 
-def snippet(data: bytes, size: int = TRAIN_BYTES) -> bytes:
-    """All of a text for training, or evenly spread chunks of a longer one."""
-    if len(data) <= size:
-        return data
-    chunk = 2 * BLOCK * STRIDE
-    starts = np.linspace(0, len(data) - chunk, size // chunk).astype(int)
-    return b"".join(data[s : s + chunk] for s in starts)
-
-
 def padded(data: bytes) -> np.ndarray:
     """Bytes with zeros at the end, up to whole blocks and the last filter's reach."""
     blocks = max(1, -(-len(data) // (BLOCK * STRIDE)))
@@ -72,6 +65,7 @@ class Network:
             "out": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
             "last": np.zeros(1, np.float32),
         }
+        self.p["embed"][0] = 0
 
     def tables(self) -> np.ndarray:
         t = np.einsum("be,kef->kbf", self.p["embed"], self.p["filters"])
@@ -127,6 +121,7 @@ class Network:
                 d_tables[k] += np.bincount(raw[at + k].astype(np.int64) * FILTERS + cols, weights=value, minlength=256 * FILTERS)
         d_tables = d_tables.reshape(WIDTH, 256, FILTERS)
         g["embed"] += np.einsum("kbf,kef->be", d_tables, self.p["filters"]).astype(np.float32)
+        g["embed"][0] = 0
         g["filters"] += np.einsum("be,kbf->kef", self.p["embed"], d_tables).astype(np.float32)
         g["bias"] += d_tables[0].sum(0).astype(np.float32)
         return g
@@ -154,19 +149,14 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | float:
     """A network, or the share of label 1 where one class has no documents."""
 
-    def features(texts: DataFrame) -> DataFrame:
-        def start():
-            return lambda batch: pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array([snippet(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch)], pa.binary())], names=["doc_id", "y", "data"])
-
-        return map_batches(texts, "doc_id long, y int, data binary", start)
-
-    rows, counts = labelled_sample(docs, labels, "quality", per_class, features)
+    texts, counts = labelled_sample(docs, labels, "quality", per_class)
+    rows = sorted(texts.collect())  # 2 * per_class rows at most
     y = np.array([r["y"] for r in rows])
     if not len(y) or y.min() == y.max():
         return counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     share = np.array([counts[0], counts[1]]) / sum(counts.values())
     weight = (share / np.bincount(y) * len(y))[y]
-    return Network().fit([r["data"] for r in rows], y, weight)
+    return Network().fit([r["text"].encode("utf-8", "surrogatepass") for r in rows], y, weight)
 
 
 def score(docs: DataFrame, model: Network | float, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,8 +3,9 @@
 Candidates are found by pattern in every whole text. Each candidate's value is hashed, and the hashes
 are counted over the corpus by distinct repositories and owners: first one row per hash, owner and
 repository (combined before the shuffle, so a value that a third of all rows carries is one row per
-task), then per owner, then per hash. A value of many owners is a widely copied example; one of few
-is live-looking. Base candidates always stay; opaque tokens, which no pattern of the base names,
+task), then per owner, then per hash. A value of many owners, or spread over many repositories by more
+than one, is a widely copied example; one that a single owner holds, in however many repositories, or
+few, is live-looking. Base candidates always stay; opaque tokens, which no pattern of the base names,
 become spans only where ownership says that they are live-looking.
 
 Defined cases: a null text counts as empty and has no span; a null owner or repository is one of its
@@ -30,8 +31,8 @@ PATTERNS = {
 BASE = ("assign", "access", "hex")
 #: A row that doesn't match this has no candidate.
 ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|[A-Za-z0-9+/_-]{24}"""
-#: Owners from which on a value is a widely copied example.
-COPIED_OWNERS = 3
+#: Owners from which on a value is a widely copied example, and repositories from which on one of two owners is.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 4
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def find(docs: DataFrame, repository: Column, owner: Column, copied_owners: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
     # both written: the patterns run once, and either side of the join is a plain shuffle, which Spark can split where a value is hot
     some = checkpoint(_candidates(rows.filter(F.col("text").rlike(ANY)).withColumn("text_hash", F.xxhash64("text"))))
-    judged = some.join(checkpoint(ownership(some)), "value_hash", "left").withColumn("live", F.col("n_owners") < copied_owners)
+    judged = some.join(checkpoint(ownership(some)), "value_hash", "left").withColumn("live", (F.col("n_owners") < copied_owners) & ((F.col("n_owners") < 2) | (F.col("n_repositories") < COPIED_REPOSITORIES)))
     kept = judged.filter((F.col("kind") != "opaque") | F.col("live"))
     span = F.struct("start", "kind_order", "end", "kind", "live", "n_owners", "n_repositories", "value_hash")
     return kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("found"))
@@ -95,6 +96,7 @@ def scan(docs: DataFrame, repository: Column, owner: Column, copied_owners: int
         text(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+        *(F.coalesce(F.array_max(F.transform("found", lambda s: s[n])), F.lit(0).cast("long")).alias(f"most_{n[2:]}") for n in ("n_owners", "n_repositories")),
     )
 
 
@@ -129,26 +131,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), F.col("lang"), F.col("source"))
 
 
-def _oracle() -> str:
-    parts = []
-    for order, (kind, (pattern, group, least)) in enumerate(PATTERNS.items()):
-        p = pattern.replace("'", "''")
-        parts.append(f"SELECT row, doc_id, source, lang, '{kind}' AS kind, {order} AS kind_order, {least} AS least, regexp_extract_all(text, '{p}') AS found, regexp_extract_all(text, '{p}', {group}) AS vals, string_split_regex(text, '{p}') AS gaps FROM docs")
-    return f"""
+#: The contract's rules as SQL of their own; the least lengths of access and hex are in the patterns, as their runs are found whole.
+ORACLE_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
-matches AS ({' UNION ALL '.join(parts)}),
+kinds AS (SELECT * FROM (VALUES ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+                                ('access', 1, 'AKIA[A-Z0-9]{12,}', 16), ('hex', 2, '[0-9a-f]{32,}', 32), ('opaque', 3, '[A-Za-z0-9+/_-]{24,}={0,2}', 24)) v(kind, kind_order, pattern, least)),
+matches AS (
+    SELECT row, doc_id, source, lang, kind, kind_order, least, f AS found, v AS vals, string_split_regex(text, pattern) AS gaps FROM (
+        SELECT *, regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS f, regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v FROM docs, kinds WHERE kind = 'assign'
+        UNION ALL SELECT *, regexp_extract_all(text, 'AKIA[A-Z0-9]{12,}') AS f, f AS v FROM docs, kinds WHERE kind = 'access'
+        UNION ALL SELECT *, regexp_extract_all(text, '[0-9a-f]{32,}') AS f, f AS v FROM docs, kinds WHERE kind = 'hex'
+        UNION ALL SELECT *, regexp_extract_all(text, '[A-Za-z0-9+/_-]{24,}={0,2}') AS f, f AS v FROM docs, kinds WHERE kind = 'opaque')),
 each AS (SELECT *, unnest(generate_series(1, len(found))) AS i FROM matches),
 placed AS (SELECT row, doc_id, source, lang, kind, kind_order, least, vals[i] AS val, sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY row, kind ORDER BY i) AS stop, length(found[i]) AS size FROM each),
 cand AS (SELECT *, CAST(stop - size AS BIGINT) AS begin_at FROM placed
          WHERE length(val) >= least AND (kind <> 'opaque' OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND NOT starts_with(val, 'AKIA')))),
-owners AS (SELECT val, count(DISTINCT source) AS n_owners FROM cand GROUP BY val),
-kept AS (SELECT cand.*, n_owners < {COPIED_OWNERS} AS live, kind || ':' || begin_at || ':' || CAST(stop AS BIGINT) AS span FROM cand JOIN owners USING (val) WHERE kind <> 'opaque' OR n_owners < {COPIED_OWNERS}),
+owners AS (SELECT val, count(DISTINCT source) AS n_owners, count(DISTINCT (source, lang)) AS n_repositories FROM cand GROUP BY val),
+judged AS (SELECT cand.*, n_owners, n_repositories, n_owners = 1 OR n_owners = 2 AND n_repositories <= 3 AS live, kind || ':' || begin_at || ':' || CAST(stop AS BIGINT) AS span FROM cand JOIN owners USING (val)),
+kept AS (SELECT * FROM judged WHERE kind <> 'opaque' OR live),
 per AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                string_agg(span, ',' ORDER BY begin_at, kind_order) FILTER (kind <> 'opaque') AS base, string_agg(span, ',' ORDER BY begin_at, kind_order) AS spans,
-               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM kept GROUP BY row)
+               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM kept GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM docs LEFT JOIN per USING (row)"""
-
-
-ORACLE_SQL = _oracle()

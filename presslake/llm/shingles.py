@@ -33,8 +33,8 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def word_hashes(data: bytes, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, 64-bit hash) of every word; A-Z count as a-z, words are cut at the bytes that ``ends`` marks, ASCII white space."""
+def word_hashes(data: bytes, ends: np.ndarray = _SPACE, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word, or of its first ``prefix`` bytes; A-Z count as a-z, words are cut at the bytes that ``ends`` marks, ASCII white space."""
     raw = np.frombuffer(data, np.uint8)
     space = ends[raw]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
@@ -45,8 +45,11 @@ def word_hashes(data: bytes, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.
     letters = raw[~space]
     first = np.cumsum(size) - size
     place = np.arange(len(letters)) - np.repeat(first, size)
-    h = np.add.reduceat(_BYTE[letters] * _powers(int(size.max()))[place], first)
-    return start, mix(h + size.astype(np.uint64) * _MARK)
+    part = _BYTE[letters] * _powers(int(size.max()))[place]
+    if prefix:
+        part[place >= prefix] = 0
+    h = np.add.reduceat(part, first)
+    return start, mix(h + (np.full(len(h), 1 << 40 | prefix, np.uint64) if prefix else size.astype(np.uint64)) * _MARK)
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -84,14 +87,14 @@ def _sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray
             yield np.array([], np.uint64)
 
 
-def _hashed(texts: list[str], ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hashed(texts: list[str], ends: np.ndarray, prefix: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes of several texts at a time, and where each text's begin and end among them."""
     held: list[bytes] = []
     total = 0
 
     def flush() -> tuple[np.ndarray, np.ndarray]:
         first = np.cumsum([0, *(len(x) + 1 for x in held)])
-        start, hashes = word_hashes(b"\n".join(held), ends)
+        start, hashes = word_hashes(b"\n".join(held), ends, prefix)
         held.clear()
         return hashes, np.searchsorted(start, first)
 
@@ -101,7 +104,7 @@ def _hashed(texts: list[str], ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
             if held:
                 yield flush()
                 total = 0
-            hashes = np.concatenate([word_hashes(p, ends)[1] for p in _pieces(data)])
+            hashes = np.concatenate([word_hashes(p, ends, prefix)[1] for p in _pieces(data)])
             yield hashes, np.array([0, len(hashes)])
             continue
         held.append(data)
@@ -113,9 +116,9 @@ def _hashed(texts: list[str], ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield flush()
 
 
-def text_words(texts: list[str], ends: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
-    """Each text's word hashes in order."""
-    for hashes, bounds in _hashed(texts, ends):
+def text_words(texts: list[str], ends: np.ndarray = _SPACE, prefix: int = 0) -> Iterator[np.ndarray]:
+    """Each text's word hashes in order, or those of its words' first ``prefix`` bytes."""
+    for hashes, bounds in _hashed(texts, ends, prefix):
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield hashes[a:b]
 

@@ -7,7 +7,8 @@ until none is left. The count is the initial symbols minus the merges, plus the
 character outside the vocabulary is spelled with, less one for each.
 
 Defined cases: a null text counts as empty; an empty text has 0 tokens; repeated rows give a row
-each; a null doc_id stays null; other columns are ignored, whatever they are called.
+each; a null doc_id stays null; an empty table gives no rows; other columns are ignored, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from presslake.llm.common import documents, map_batches, texts_of
+from presslake.llm.common import vocabulary as shipped
 
 SPACE = "▁"
 #: Tokens beyond which a document is over the context limit.
@@ -133,9 +135,10 @@ UNITS = re.compile(f"{SPACE}+[^{SPACE}]*").findall
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; one narrow pass, nothing is shuffled."""
+    place = shipped(docs.sparkSession, vocabulary)
 
     def start():
-        counter = counter_of(vocabulary)
+        counter = counter_of(place())
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)

@@ -1,18 +1,21 @@
-"""Toxicity by a classifier chain over hashed words.
+"""Toxicity by a classifier chain over hashed words and word beginnings.
 
-The categories are predicted one after another; each linear model gets the document's words and the
-probabilities of the categories before it. In training these probabilities are out-of-fold
-predictions, as the models will meet unseen documents. The last category, toxic, is the label of the
-table; the ones before it are toxic documents with words of that kind (CATEGORIES).
+The categories are predicted one after another; each linear model gets the document's features and the
+probabilities of the categories before it. In training these probabilities are out-of-fold predictions,
+as the models will meet unseen documents. The last category, toxic, is the label of the table. Those
+before it are learned: the toxic documents of the sample are grouped into KINDS kinds by what marks them
+(k-means over the features of the toxic side), and a category is being one of that kind.
 
-Words are runs of letters of the whole text, A-Z as a-z, known by a 64-bit hash. The models see which
-of the sample's words, chosen by how far their counts in toxic and clean documents lie apart, are in
-the document. They are fitted on a bounded sample (PER_CLASS documents of each class, whole texts),
-weighted to the classes' shares; documents of the held-out fold are never learned from.
+Features are runs of letters of the whole text, A-Z as a-z, and their first bytes (PREFIXES), which
+words of one family share, all known by a 64-bit hash. The models see which of the FEATURES that lie
+farthest apart between the sample's toxic and clean documents are in the document; they are counted and
+chosen in Spark, and only their bits come to the driver. The models are fitted on a bounded sample
+(PER_CLASS documents of each class, whole texts), weighted to the classes' shares; documents of the
+held-out fold are never learned from.
 
 Defined cases: a null text counts as empty; an empty text is scored as one without known words;
-repeated rows give a row each, alike; a null doc_id has fold 0; without labels of both classes every
-score is their share (0 without labels); an empty table gives no rows; other columns are ignored.
+repeated rows give a row each, alike; a null doc_id has fold 0; an id with labels 0 and 1 isn't learned
+from; without labels of both classes every score is their share (0 without labels); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +28,11 @@ from pyspark.sql import functions as F
 from presslake.llm.common import documents, map_batches, texts_of
 from presslake.llm.shingles import LETTERS, text_words
 from presslake.llm.training import held_out, labelled_sample
-from presslake.session import read
-
-#: Categories before the last one, and the words that make a toxic document one of them.
-CATEGORIES = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum", "stupid"),
-    "degrading": ("disgusting", "pathetic", "trash", "worthless"),
-}
-PER_CLASS, WORDS, LEAST_DOCS, FOLDS, RIDGE = 2000, 256, 8, 5, 2.0
+from presslake.session import checkpoint, read
+
+#: Learned categories before the last one, and bytes of word beginnings.
+KINDS, PREFIXES = 3, (4, 6)
+PER_CLASS, FEATURES, LEAST_DOCS, FOLDS, RIDGE, STEPS = 2000, 384, 4, 5, 2.0, 12
 THRESHOLD = 0.3
 
 
@@ -46,11 +46,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+    for _ in range(STEPS):
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -59,18 +59,24 @@ def predict_linear(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
+def found_features(texts: list[str]) -> list[np.ndarray]:
+    """Each text's distinct features."""
+    every = zip(text_words(texts, LETTERS), *(text_words(texts, LETTERS, p) for p in PREFIXES))
+    return [np.unique(np.concatenate(own)) for own in every]
+
+
 class Chain:
-    """Words known by hash, and a linear model per category in order."""
+    """Features known by hash, sorted, and a linear model per category in order."""
 
-    def __init__(self, words: np.ndarray, models: list[np.ndarray]):
-        self.words, self.models = words, models
+    def __init__(self, known: np.ndarray, models: list[np.ndarray]):
+        self.known, self.models = known, models
 
     def features(self, found: np.ndarray) -> np.ndarray:
-        """Row of the known words that are among the hashes ``found``."""
-        x = np.zeros(len(self.words))
-        if len(self.words) and len(found):
-            at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
-            x[at[self.words[at] == found]] = 1
+        """Row of the known features that are among the hashes ``found``."""
+        x = np.zeros(len(self.known))
+        if len(self.known) and len(found):
+            at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+            x[at[self.known[at] == found]] = 1
         return x
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -81,55 +87,84 @@ class Chain:
         return given[:, x.shape[1] :]
 
 
-def fit_chain(found: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, weight: np.ndarray, words: int = WORDS) -> Chain:
-    """``labels``: (documents, categories), the last one the target; ``found``: each document's distinct word hashes."""
-    toxic = labels[:, -1].astype(bool)
-    every, at = np.unique(np.concatenate(found), return_inverse=True)
-    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    with_, without = (np.bincount(at[side], minlength=len(every)) for side in (toxic[doc], ~toxic[doc]))
-    p, q = (with_ + 0.5) / (toxic.sum() + 1), (without + 0.5) / ((~toxic).sum() + 1)
-    apart = np.abs(p - q) / np.sqrt((p + q) / 2 * (1 / toxic.sum() + 1 / (~toxic).sum()))
-    apart[with_ + without < LEAST_DOCS] = 0
-    chain = Chain(np.sort(every[np.argsort(-apart, kind="stable")[:words]]), [])
-    x = np.stack([chain.features(f) for f in found])
-    for c in range(labels.shape[1]):
-        y = labels[:, c]
-        out = np.zeros(len(y))
-        for k in range(FOLDS):
-            rest = fold % FOLDS != k
-            if rest.any() and not rest.all():
-                out[~rest] = predict_linear(fit_linear(x[rest], y[rest], weight[rest]), x[~rest])
+def kinds(x: np.ndarray, toxic: np.ndarray, count: int = KINDS) -> np.ndarray:
+    """(documents, count): which kind each toxic document is of, by k-means over the features that are commoner in toxic ones; clean documents are of none."""
+    out = np.zeros((len(x), count))
+    marking = x[toxic].mean(0) > x[~toxic].mean(0)
+    own = x[toxic][:, marking]
+    own = own / np.maximum(np.linalg.norm(own, axis=1), 1e-9)[:, None]
+    centres = own[:1]
+    while len(centres) < min(count, len(own)):  # farthest from those so far
+        centres = np.concatenate([centres, own[(own @ centres.T).max(1).argmin()][None]])
+    for _ in range(20):
+        kind = (own @ centres.T).argmax(1)
+        new = np.array([own[kind == k].mean(0) if (kind == k).any() else centres[k] for k in range(len(centres))])
+        centres = new / np.maximum(np.linalg.norm(new, axis=1), 1e-9)[:, None]
+    out[np.flatnonzero(toxic), (own @ centres.T).argmax(1)] = 1
+    return out
+
+
+def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Predictions of each document by a model that hasn't seen its fold."""
+    out = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest = fold % FOLDS != k
+        if rest.any() and not rest.all():
+            out[~rest] = predict_linear(fit_linear(x[rest], y[rest], weight[rest]), x[~rest])
+    return out
+
+
+def fit_chain(known: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
+    """``labels``: (documents, categories), the last one the target; ``x``: each document's known features."""
+    chain = Chain(known, [])
+    for y in labels.T:
         chain.models.append(fit_linear(x, y, weight))
-        x = np.concatenate([x, out[:, None]], 1)
+        x = np.concatenate([x, out_of_fold(x, y, fold, weight)[:, None]], 1)
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain | float:
-    def features(texts: DataFrame) -> DataFrame:
-        def start():
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                found = [np.unique(w).tobytes() for w in text_words(texts_of(batch), LETTERS)]
-                return pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "words"])
+    """A chain, or the share of label 1 where one class has no documents."""
+    texts, counts = labelled_sample(docs, labels, "toxic", per_class)
 
-            return step
+    def start():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [f.view(np.int64) for f in found_features(texts_of(batch))]
+            return pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "y", "found"])
 
-        return map_batches(texts, "doc_id long, y int, words binary", start)
+        return step
 
-    rows, counts = labelled_sample(docs, labels, "toxic", per_class, features)
-    y = np.array([r["y"] for r in rows])
-    if not len(y) or y.min() == y.max():
+    sample = checkpoint(map_batches(texts, "doc_id long, y int, found array<long>", start))
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return counts.get(1, 0) / sum(counts.values()) if counts else 0.0
-    found = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    own = [next(iter(text_words([" ".join(words)], LETTERS))) for words in CATEGORIES.values()]
-    table = np.stack([*(y * np.array([np.isin(w, f).any() for f in found]) for w in own), y], 1).astype(float)
+    each = sample.select("y", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    p, q = (F.col("a") + 0.5) / (sizes[1] + 1), (F.col("b") + 0.5) / (sizes[0] + 1)
+    apart = F.abs(p - q) / F.sqrt((p + q) / 2 * (1 / sizes[1] + 1 / sizes[0]))
+    chosen = each.filter(F.col("a") + F.col("b") >= LEAST_DOCS).orderBy(apart.desc(), "feature").limit(FEATURES).select("feature").collect()
+    known = np.sort(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
+
+    def bits():
+        own = Chain(known, [])
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [np.packbits(own.features(np.array(f, np.int64).view(np.uint64)).astype(bool)).tobytes() for f in batch.column("found").to_pylist()]
+            return pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "bits"])
+
+        return step
+
+    rows = sorted(map_batches(sample, "doc_id long, y int, bits binary", bits).collect())  # 2 * per_class rows of FEATURES bits at most
+    y = np.array([r["y"] for r in rows])
+    x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: len(known)] for r in rows], float).reshape(len(rows), len(known))
     share = np.array([counts[0], counts[1]]) / sum(counts.values())
     weight = (share / np.bincount(y) * len(y))[y]
-    return fit_chain(found, table, np.arange(len(y)), weight)
+    table = np.concatenate([kinds(x, y == 1), y[:, None]], 1).astype(float)
+    return fit_chain(known, x, table, np.arange(len(y)), weight)
 
 
 def score(docs: DataFrame, model: Chain | float, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a probability per category (p_<category>), score (toxic) and predicted; one narrow pass."""
-    names = [f"p_{c}" for c in CATEGORIES]
+    """docs with a probability per category (p_kind<i>), score (toxic) and predicted; one narrow pass."""
+    names = [f"p_kind{i}" for i in range(KINDS)]
     docs = docs.drop(*names, "score", "predicted")  # columns of these names give way
     columns = docs.columns
 
@@ -139,7 +174,7 @@ def score(docs: DataFrame, model: Chain | float, threshold: float = THRESHOLD) -
             if isinstance(model, float):
                 p = np.full((len(texts), len(names) + 1), model)
             else:
-                p = model.predict(np.stack([model.features(w) for w in text_words(texts, LETTERS)]))
+                p = model.predict(np.stack([model.features(f) for f in found_features(texts)]))
             return pa.record_batch([*(batch.column(c) for c in columns), *(pa.array(p[:, i]) for i in range(len(names) + 1)), pa.array((p[:, -1] >= threshold).astype(np.int32))], names=[*columns, *names, "score", "predicted"])
 
         return step

@@ -188,6 +188,24 @@ def test_secrets_spans_and_mask(spark):
     assert hidden not in masked[1].text and "hunter2secret" not in masked[1].text and masked[2].text is None and common in masked[10].text
 
 
+def test_secrets_repeats_lengths_owners_and_names(spark):
+    from pyspark.sql import functions as F
+
+    shared, own = "Qm7" + "x4K" * 9, "Rn8" + "y5L" * 9
+    long = "filler words " * 100_000 + f"token={'z' * 40}"
+    rows = [(1, f"a {own}"), (1, f"a {own}"), (5, long), *[(20 + i, f"see {shared}") for i in range(8)], (None, None), (6, "")]
+    d = spark.createDataFrame([(i, t, f"l{i % 4 if i else 0}", f"src{i % 2 if i else 0}", 0, 0.5, "x") for i, t in rows], DOC).withColumnsRenamed({"score": "kind", "mark": "start"})
+    got = secrets.scan(d, F.col("lang"), F.col("source")).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_live == 1 and (by[1].most_owners, by[1].most_repositories) == (1, 1)
+    assert by[5].n_assign == 1 and by[5].spans == f"assign:1300000:{1300000 + 46},opaque:{1300006}:{1300046}" or by[5].spans.startswith("assign:1300000")
+    assert by[20].spans == "" and by[20].n_copied == 0  # two owners, four repositories: widely copied
+    masked = secrets.mask(d, F.col("lang"), F.col("source"))
+    assert masked.columns == d.columns and masked.count() == len(rows)
+    assert secrets.scan(d.limit(0), F.col("lang"), F.col("source")).count() == 0
+
+
 def vector_rows(rng, n, dim=8):
     rows = [(int(i), [float(x) for x in rng.normal(size=dim)]) for i in range(n)]
     return rows + [(1000, None), (1020, [0.0] * dim), (1040, [float("nan")] * dim), (1060, rows[0][1]), (1080, rows[0][1]), (None, rows[1][1])]
@@ -269,9 +287,56 @@ def test_labelled_sample_takes_one_row_of_an_id(spark):
 
     d, labels = labelled(spark, "toxic")
     many = d.unionByName(docs(spark, [(i, f"repeated {j}") for i in range(20) for j in range(50)]))
-    rows, counts = labelled_sample(many, labels, "toxic", 400, lambda t: t)
-    ids = [r.doc_id for r in rows]
+    torn = labels.unionByName(spark.createDataFrame([(i, 1, "") for i in range(1, 20, 4)] + [(i, 0, "") for i in range(1, 20, 4)], labels.schema))
+    rows, counts = labelled_sample(many, torn, "toxic", 400)
+    ids = [r.doc_id for r in rows.collect()]
     assert len(ids) == len(set(ids)) == sum(counts.values()) > 250
+    assert not set(range(1, 20, 4)) & set(ids)  # labels that contradict each other
+
+
+def test_network_scores_are_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = quality.Network()
+    net.p["last"] += np.float32(0.3)
+    for n in (0, 1, 127, 128, 129, 1000, 40_000):
+        data = rng.integers(1, 256, n, dtype=np.uint8).tobytes()
+        blocks = max(1, -(-n // 128))
+        raw = data + b"\0" * (blocks * 128 + quality.WIDTH - n)
+        embedded = net.p["embed"][np.frombuffer(raw, np.uint8)].astype(float)
+        at = range(0, blocks * 128, quality.STRIDE)
+        response = np.array([np.einsum("ke,kef->f", embedded[i : i + quality.WIDTH], net.p["filters"].astype(float)) + net.p["bias"] for i in at])
+        tops = response.reshape(blocks, quality.BLOCK, -1).max(1)
+        chunks = np.array([np.maximum(a, b) for a, b in zip(tops, tops[1:])]) if blocks > 1 else tops
+        lit = np.maximum(chunks, 0)
+        z = np.concatenate([lit.mean(0), lit.max(0)]) @ net.p["out"].astype(float) + float(net.p["last"][0])
+        assert abs(net.score(data, net.tables()) - 1 / (1 + np.exp(-z))) < 1e-4
+    assert net.score(b"", net.tables()) == net.score(b"\0" * 100, net.tables())
+
+
+def test_chain_gets_out_of_fold_predictions():
+    rng = np.random.default_rng(4)
+    x = (rng.random((200, 12)) < 0.3).astype(float)
+    y, fold, weight = (rng.random(200) < 0.4).astype(float), np.arange(200), np.ones(200)
+    got = toxicity.out_of_fold(x, y, fold, weight)
+    for k in range(toxicity.FOLDS):
+        rest = fold % toxicity.FOLDS != k
+        other = y.copy()
+        other[~rest] = 1 - other[~rest]  # a fold's own labels don't matter to its predictions
+        assert np.allclose(toxicity.out_of_fold(x, other, fold, weight)[~rest], got[~rest])
+        assert np.allclose(toxicity.predict_linear(toxicity.fit_linear(x[rest], y[rest], weight[rest]), x[~rest]), got[~rest])
+    chain = toxicity.fit_chain(np.arange(12, dtype=np.uint64), x, np.stack([y, y], 1), fold, weight)
+    assert [len(m) for m in chain.models] == [13, 14]  # the second model sees the first one's probability
+    first = toxicity.predict_linear(chain.models[0], x)
+    assert np.allclose(chain.predict(x)[:, 1], toxicity.predict_linear(chain.models[1], np.concatenate([x, first[:, None]], 1)))
+
+
+def test_kinds_are_found_in_the_toxic_documents():
+    x = np.zeros((90, 9))
+    for i in range(60):
+        x[i, [i % 3 * 3, i % 3 * 3 + 1 + i % 2]] = 1
+    kind = toxicity.kinds(x, np.arange(90) < 60)
+    assert (kind[:60].sum(1) == 1).all() and not kind[60:].any()
+    assert len({tuple(kind[i]) for i in range(60)}) == 3 and all((kind[i] == kind[i % 3]).all() for i in range(60))
 
 
 def test_quality_learns_and_scores_whole_texts(spark):
@@ -292,7 +357,9 @@ def test_toxicity_chain(spark):
 
 def test_empty_tables(spark):
     none = docs(spark, []).limit(0)
-    assert jaccard_join.link(none).count() == 0
+    assert jaccard_join.link(none).count() == 0 and jaccard_join.deduplicate(none).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(none, quality.train(none, labels)).count() == 0 and toxicity.score(none, toxicity.train(none, labels)).count() == 0
     assert byte_bpe.encode(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     assert token_counts.token_counts(none, P.path("piece_bpe_32k.model")).count() == 0
     empty = spark.createDataFrame([], "vec_id long, vector array<double>")
