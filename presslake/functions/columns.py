@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Arabic letter folding and the marks that are dropped (fixed values).
 ARABIC_FROM, ARABIC_TO = "إأآىة", "ااايه"
 ARABIC_MARKS = "[ً-ٰٟ]"
-#: Query parameters that a canonical URL leaves out (fixed values).
-TRACKING = r"(?i)(utm_[^=&]*|fbclid|gclid|mc_[^=&]*)=[^&#]*"
+#: Names of query parameters that a canonical URL leaves out (fixed values).
+TRACKING = r"(?i)^(utm_.*|fbclid|gclid|mc_.*)$"
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -59,15 +59,16 @@ def script_majority(text: Column, own: str, other: str, least: int = 6) -> Colum
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case, no fragment, no tracking parameters, no double or final slash (TX-36)."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    query = F.regexp_replace(F.regexp_extract(bare, r"\?(.*)$", 1), TRACKING, "")
-    query = F.regexp_replace(F.regexp_replace(query, "&+", "&"), "^&|&$", "")
-    scheme = F.regexp_extract(bare, r"^([a-zA-Z]+)://", 1)
-    host = F.lower(F.regexp_extract(bare, r"^[a-zA-Z]+://([^/?]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[a-zA-Z]+://[^/?]*([^?]*)", 1), "/+", "/")
-    path = F.regexp_replace(path, "/$", "")
-    return F.concat(F.lower(scheme), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    """Host in lower case, no fragment, no tracking parameters, no double or final slash but the root's (TX-36); what isn't a URL is trimmed."""
+    given = F.trim(url)
+    bare = F.regexp_replace(given, "#.*$", "")
+    pattern = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?]+)([^?]*)(?:\?(.*))?$"
+    part = lambda i: F.regexp_extract(bare, pattern, i)
+    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^[^=]*", 0).rlike(TRACKING))
+    path = F.regexp_replace(F.regexp_replace(part(3), "/+", "/"), "/$", "")
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    whole = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), query)
+    return F.when(bare.rlike(pattern), whole).otherwise(given)
 
 
 def html_tag(html: Column, tag: str) -> Column:
@@ -97,14 +98,15 @@ def zoned_midnight(day: Column, zone: str) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Host of an http or https URL in lower case, without its port; empty if there is none."""
-    return F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#:]+)", 1))
+    """Host of an http or https URL in lower case, without user and port; empty if there is none."""
+    authority = F.regexp_replace(F.regexp_extract(F.trim(url), r"^(?i:https?)://([^/?#\\\\]*)", 1), "^.*@", "")
+    return F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]+)", 1))
 
 
 def safe_external(url: Column) -> Column:
     """An http or https URL whose host is neither local nor in a private network (FLT-13)."""
     own = host(url)
-    return F.coalesce((own != "") & ~own.rlike(r"^(localhost$|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), F.lit(False))
+    return F.coalesce((own != "") & ~own.rlike(r"^(localhost$|\[::1\]$|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), F.lit(False))
 
 
 def domains_match(a: Column, b: Column) -> Column:

@@ -20,38 +20,53 @@ def after_cursor(df: DataFrame, ts: str, key: str, cursor: tuple[datetime, int],
     return df.filter(behind).orderBy(F.col(ts).desc(), F.col(key).desc()).limit(size)
 
 
-def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key (WN-2, JN-5); Spark cuts each task's rows to n before the shuffle."""
+def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, place: str = "place") -> DataFrame:
+    """The first n rows of each key, with their number in ``place`` (WN-2, JN-5); Spark cuts each task's rows to n before the shuffle."""
+    if place in df.columns:
+        raise ValueError(f"the table has a column {place}: name another")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("place", rank).filter(F.col("place") <= n)
+    return df.withColumn(place, rank).filter(F.col(place) <= n)
 
 
-def balanced_top(df: DataFrame, category: str, order: list[Column], limit: int, cap: int) -> DataFrame:
-    """At most ``limit`` rows, the ``cap`` best of each category first, then the best of the rest (WN-3)."""
-    place = F.row_number().over(Window.partitionBy(category).orderBy(*order))
+def balanced_top(df: DataFrame, category: str, order: list[Column], limit: int, cap: int, pinned: Column | None = None) -> DataFrame:
+    """At most ``limit`` rows: pinned ones, which no cap holds back, and the ``cap`` best of each category; then the best of the rest (WN-3)."""
+    place = "place_in_category"
+    if place in df.columns:
+        raise ValueError(f"the table has a column {place}")
+    first = F.lit(False) if pinned is None else pinned
+    by = [first.desc(), *order]
     # beyond cap a category can still fill up the list, but never with more than limit rows
-    some = df.withColumn("place", place).filter(F.col("place") <= limit)
-    return some.withColumn("within_cap", F.col("place") <= cap).orderBy(F.col("within_cap").desc(), *order).limit(limit)
+    some = df.withColumn(place, F.row_number().over(Window.partitionBy(category).orderBy(*by))).filter(F.col(place) <= limit)
+    return some.orderBy((first | (F.col(place) <= cap)).desc(), *by).limit(limit).drop(place)
 
 
 def overlap_counts(df: DataFrame, key: str, items: str, target: DataFrame) -> DataFrame:
-    """Rows of df by how many of target's items they share (JN-10)."""
-    each = df.select(key, F.explode(items).alias("item"))
-    wanted = target.select(F.explode(items).alias("item")).distinct()
-    return each.join(wanted, "item").groupBy(key).agg(F.count("*").alias("overlap"))
+    """Rows of df, but for the target's own, by how many pairs of equal items they make with target's (JN-10): repeated items count each time.
+
+    ``target`` is one row (key, items): its items and their counts are sent along with the plan.
+    """
+    own = target.select(F.col(key).alias("own_key"), F.explode(items).alias("item")).groupBy("own_key", "item").agg(F.count("*").alias("times"))
+    wanted = F.broadcast(own.groupBy("own_key").agg(F.map_from_entries(F.collect_list(F.struct("item", "times"))).alias("times")))
+    pairs = F.aggregate(F.col(items), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.try_element_at("times", x), F.lit(0).cast("long")))
+    return df.join(wanted, F.col(key) != F.col("own_key")).select(key, pairs.alias("overlap")).filter("overlap > 0")
 
 
 def exact_duplicates(df: DataFrame, key: str, tiers: dict[str, list[str]]) -> DataFrame:
-    """Rows that an earlier row (smaller key) matches on any tier's columns, with the first such tier (JN-11).
+    """Rows that an earlier row (smaller key) matches on any tier's columns, with the first such tier (JN-11); null and empty values match nothing.
 
-    One grouped minimum per tier instead of a join on a disjunction.
+    One grouped minimum per tier, combined before its shuffle, and an equi-join with it instead of a join on a disjunction.
     """
     found = None
     for order, (tier, columns) in enumerate(tiers.items()):
-        first = Window.partitionBy(*columns)
-        one = df.withColumn("original", F.min(key).over(first)).filter(F.col("original") < F.col(key)).select(key, "original", F.lit(order).alias("tier_order"), F.lit(tier).alias("tier"))
+        full = F.lit(True)
+        for c in columns:
+            full = full & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        some = df.filter(full).select(key, *columns)
+        first = some.groupBy(*columns).agg(F.min(key).alias("original"), F.count("*").alias("many")).filter("many > 1").drop("many")
+        one = some.join(first, columns).filter(F.col("original") < F.col(key)).select(key, "original", F.lit(order).alias("tier_order"), F.lit(tier).alias("tier"))
         found = one if found is None else found.unionByName(one)
-    return newest(found, [key], [F.col("tier_order")]).select(key, "tier", "original")
+    best = found.groupBy(key).agg(F.min_by(F.struct("tier", "original"), "tier_order").alias("best"))
+    return best.select(key, "best.tier", "best.original")
 
 
 def interval_pairs(df: DataFrame, key: str, ts: str, equal: list[str], width: timedelta) -> DataFrame:

@@ -72,9 +72,14 @@ def tag_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).filter("n >= 3")
 
 
-@query("related_by_overlap", "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS tag FROM documents) SELECT doc_id, count(*) AS overlap FROM t WHERE tag IN (SELECT tag FROM t WHERE doc_id = 1) GROUP BY doc_id")
+@query(
+    "related_by_overlap",
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS tag FROM documents)
+       SELECT a.doc_id, count(*) AS overlap FROM t a JOIN t b ON a.tag = b.tag AND b.doc_id = 1 AND a.doc_id <> 1 GROUP BY a.doc_id""",
+)
 def related_by_overlap(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").withColumn("tags", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))))
+    """JN-10: words repeat, and every pair of equal ones counts; the target isn't related to itself."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("tags"))
     return R.overlap_counts(docs, "doc_id", "tags", docs.filter("doc_id = 1"))
 
 
@@ -91,10 +96,10 @@ def semi_active(spark, sf_dir):
     return read(spark, sf_dir, "customer").join(open_, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("anti_seen", "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("anti_seen", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')")
 def anti_seen(spark, sf_dir):
-    seen = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return read(spark, sf_dir, "part").join(seen, "p_partkey", "left_anti").select("p_partkey", "p_brand")
+    seen = read(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("latest_join", "SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ON o_custkey = c_custkey")
@@ -221,21 +226,6 @@ def classify_rules(spark, sf_dir):
     return R.newest(each, ["doc_id"], [F.col("score").desc(), F.col("category")]).select("doc_id", "category", "score")
 
 
-@query("page_status", "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'missing' WHEN NOT contains(lower(html), '<article') THEN 'no_article' WHEN NOT contains(html, '</html>') THEN 'cut' ELSE 'ok' END AS status FROM pages")
-def page_status(spark, sf_dir):
-    html = F.col("html")
-    ladder = F.when(html.isNull() | (html == ""), "missing").when(~F.lower(html).contains("<article"), "no_article").when(~html.contains("</html>"), "cut").otherwise("ok")
-    return read(spark, sf_dir, "pages").select("page_id", ladder.alias("status"))
-
-
-@query("validate_errors", "SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN n_chars > 20000 THEN 'long' END, CASE WHEN contains(text, '$$$') THEN 'symbols' END, CASE WHEN source = 'src0' THEN 'source' END) AS errors FROM documents")
-def validate_errors(spark, sf_dir):
-    """FLT-18: all failing rules of a row."""
-    text, n = F.col("text"), F.col("n_chars")
-    reasons = C.failing(short=n < 300, long=n > 20000, symbols=text.contains("$$$"), source=F.col("source") == "src0")
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(reasons, ",").alias("errors"))
-
-
 @query("lang_script", "SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) >= 6 AND length(regexp_replace(text, '[^a-z]', '', 'g')) >= length(regexp_replace(text, '[^0-9]', '', 'g')) AS latin FROM documents")
 def lang_script(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", C.script_majority(F.col("text"), "[a-z]", "[0-9]").alias("latin"))
@@ -256,13 +246,21 @@ def token_similarity(spark, sf_dir):
 
 @query(
     "url_canonical",
-    r"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
-       q AS (SELECT page_id, u, regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '\?(.*)$', 1), '(utm_[^=&]*|fbclid|gclid|mc_[^=&]*)=[^&#]*', '', 'gi'), '&+', '&', 'g'), '^&|&$', '', 'g') AS query FROM p)
-       SELECT page_id, lower(regexp_extract(u, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]*)', 1)) || regexp_replace(regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?]*([^?]*)', 1), '/+', '/', 'g'), '/$', '')
-       || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url FROM q""",
+    r"""WITH u AS (SELECT page_id, trim(url) || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '?xfbclid=1&my_utm_source=b&fbclid&k=2' WHEN 2 THEN '//a//b/?utm_x=1#frag' WHEN 3 THEN '?gclid=7&a=1' ELSE '' END AS given FROM pages),
+       v AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'https://A.org/' WHEN 1 THEN ' nota url ' ELSE given END AS given FROM u),
+       w AS (SELECT page_id, trim(given) AS given, split_part(trim(given), '#', 1) AS bare FROM v),
+       x AS (SELECT *, split_part(bare, '?', 1) AS front, list_filter(string_split(array_to_string(string_split(bare, '?')[2:], '?'), '&'),
+             lambda p: p <> '' AND NOT lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid') AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND NOT starts_with(lower(split_part(p, '=', 1)), 'mc_')) AS kept FROM w),
+       y AS (SELECT *, split_part(front, '://', 1) AS scheme, array_to_string(string_split(front, '://')[2:], '://') AS rest FROM x),
+       z AS (SELECT *, split_part(rest, '/', 1) AS host, rtrim(regexp_replace(rest[length(split_part(rest, '/', 1)) + 1:], '/+', '/', 'g'), '/') AS path FROM y)
+       SELECT page_id, CASE WHEN rest = '' THEN given ELSE lower(scheme) || '://' || lower(host) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url FROM z""",
 )
 def url_canonical(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", C.canonical_url(F.col("url")).alias("url"))
+    """TX-36 over the pages' URLs with parameters and odd forms added."""
+    page = F.col("page_id")
+    added = F.when(page % 5 == 1, "?xfbclid=1&my_utm_source=b&fbclid&k=2").when(page % 5 == 2, "//a//b/?utm_x=1#frag").when(page % 5 == 3, "?gclid=7&a=1").otherwise("")
+    given = F.when(page % 7 == 0, "https://A.org/").when(page % 7 == 1, " nota url ").otherwise(F.concat(F.trim("url"), added))
+    return read(spark, sf_dir, "pages").select("page_id", C.canonical_url(given).alias("url"))
 
 
 @query("html_title", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")

@@ -15,9 +15,20 @@ NOW = datetime(2024, 1, 30, 12)
 HOST = r"lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1))"
 
 
-@query("safe_urls", rf"SELECT page_id, h AS host, h <> '' AND NOT regexp_matches(h, '^(localhost$|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS safe FROM (SELECT page_id, {HOST} AS h FROM pages)")
+@query(
+    "safe_urls",
+    r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://a@10.0.0.1/x' WHEN 1 THEN 'http://u:p@localhost:80/' WHEN 2 THEN 'ftp://a.org/' WHEN 3 THEN 'https://172.20.1.1/' ELSE url END AS url FROM pages),
+        a AS (SELECT page_id, regexp_matches(lower(url), '^https?://') AS web, split_part(split_part(split_part(string_split(url, '://')[2], '/', 1), '?', 1), '#', 1) AS authority FROM u),
+        h AS (SELECT page_id, CASE WHEN web THEN lower(split_part(string_split(authority, '@')[-1], ':', 1)) ELSE '' END AS host FROM a)
+        SELECT page_id, host, host <> '' AND host <> 'localhost' AND NOT starts_with(host, '127.') AND NOT starts_with(host, '10.') AND NOT starts_with(host, '192.168.')
+        AND NOT coalesce(starts_with(host, '172.') AND TRY_CAST(split_part(host, '.', 2) AS INTEGER) BETWEEN 16 AND 31, false) AS safe FROM h""",
+)
 def safe_urls(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", C.host(F.col("url")).alias("host"), C.safe_external(F.col("url")).alias("safe"))
+    """FLT-13, with hosts behind user names and private networks among the pages' URLs."""
+    page = F.col("page_id")
+    odd = F.when(page % 6 == 0, "http://a@10.0.0.1/x").when(page % 6 == 1, "http://u:p@localhost:80/").when(page % 6 == 2, "ftp://a.org/").when(page % 6 == 3, "https://172.20.1.1/")
+    url = odd.otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", C.host(url).alias("host"), C.safe_external(url).alias("safe"))
 
 
 @query("domain_match", f"SELECT page_id, h LIKE '%.example.org' OR h = 'example.org' AS own FROM (SELECT page_id, regexp_replace({HOST}, '^www\\.', '') AS h FROM pages)")
@@ -30,9 +41,16 @@ def sentence_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(C.sentences(F.col("text"))).alias("sentences"))
 
 
-@query("string_arrays", r"SELECT event_id, list_filter(list_transform(string_split_regex(props, '[،,\n]+'), lambda s: trim(s)), lambda s: s <> '')[1] AS first FROM events")
+@query(
+    "string_arrays",
+    r"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE list_filter(list_transform(string_split_regex(props, '[،,\n]+'), lambda s: trim(s)), lambda s: s <> '')[1] END AS first,
+        CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE len(list_filter(list_transform(string_split_regex(props, '[،,\n]+'), lambda s: trim(s)), lambda s: s <> '')) END AS INTEGER) AS n FROM events""",
+)
 def string_arrays(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.get(C.string_array(F.col("props")), 0).alias("first"))
+    """SC-J1: every other row is a JSON array, the others are parts between commas."""
+    value = F.when(F.col("event_id") % 2 == 0, F.to_json(F.array("event_type", F.lit("a, b")))).otherwise(F.col("props"))
+    found = C.string_array(value)
+    return read(spark, sf_dir, "events").select("event_id", F.get(found, 0).alias("first"), F.size(found).alias("n"))
 
 
 @query("external_keys", "SELECT page_id, sha256(coalesce(nullif(url, ''), CAST(page_id AS VARCHAR))) AS key FROM pages")

@@ -12,10 +12,10 @@ ENTRY = "title string, id string, updated string, summary string, link struct<_h
 
 
 def rss(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS files, one per guid or else link, the last one of a file kept (SRC-3)."""
-    rows = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
+    """Items of RSS files, one per file and guid or else link, the last one kept (SRC-3)."""
+    rows = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path).select("*", F.col("_metadata.file_path").alias("file"))
     keyed = rows.withColumn("key", F.coalesce(F.nullif("guid", F.lit("")), "link")).withColumn("ordinal", F.monotonically_increasing_id())
-    return newest(keyed, ["key"], [F.col("ordinal").desc()]).select("key", "title", "link", "pubDate", "description")
+    return newest(keyed, ["file", "key"], [F.col("ordinal").desc()]).select("key", "title", "link", "pubDate", "description")
 
 
 def atom(spark: SparkSession, path: str) -> DataFrame:
