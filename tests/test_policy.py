@@ -10,7 +10,11 @@ from presslake.functions import dates, policy as P
 from presslake.operators import relations as R
 
 NOW = datetime(2024, 5, 1, 12)
-PARAGRAPHS = [f"{word} تعمل الجهات المعنية على تنفيذ المشروع الجديد وفق الخطة المعتمدة خلال الفترة المقبلة {word} في جميع المناطق والمدن" for word in ("اولا", "ثانيا", "ثالثا")]
+PARAGRAPHS = [
+    "تعمل الجهات المعنية على تنفيذ المشروع الجديد وفق الخطة المعتمدة خلال الفترة المقبلة في جميع المناطق",
+    "واكد المسؤولون ان الخدمات ستصل الى السكان تدريجيا بعد انتهاء اعمال البنية التحتية في الاحياء السكنية",
+    "ويشمل البرنامج تدريب العاملين وتحديث الانظمة وتوفير فرص كثيرة للشباب في قطاعات مختلفة من السوق المحلية",
+]
 
 
 def one(spark, column):
@@ -42,7 +46,7 @@ def test_urls(spark):
         assert one(spark, C.canonical_url(F.lit(url))) == want
     for url in ("http://a@10.0.0.1/x", "http://u:p@localhost/", "http://[::1]/", "ftp://a.org", "http://172.31.0.1", "javascript:1", ""):
         assert not one(spark, C.safe_external(F.lit(url)))
-    for url in ("https://u@a.org:80/x", "http://172.32.0.1/", "HTTP://10.example.org/"[:12] + "a.org/"):
+    for url in ("https://u@a.org:80/x", "http://172.32.0.1/", "HTTP://A.org"):
         assert one(spark, C.safe_external(F.lit(url)))
 
 
@@ -73,7 +77,7 @@ def test_every_code_of_the_validator(spark):
 def test_paragraphs_and_summaries(spark):
     values = [PARAGRAPHS[0], "قصير", PARAGRAPHS[0] + " ", "الرئيسية / " + PARAGRAPHS[1], PARAGRAPHS[1], "an English paragraph of more than thirty five letters"]
     got = one(spark, P.clean_paragraphs(F.array(*map(F.lit, values)), F.lit("عنوان"), F.lit("")))
-    assert got == [PARAGRAPHS[0]] or got == [PARAGRAPHS[0], PARAGRAPHS[1]]
+    assert got == [PARAGRAPHS[0], PARAGRAPHS[1]]
     assert one(spark, P.clean_summary(F.lit("خبر تابعونا على وتابعونا على"))) == "خبر وتابعونا على"
     assert one(spark, P.hashtag_text(F.lit("##السعودية_2030"))) == "السعودية 2030"
     assert one(spark, P.without_article(F.lit("الرياض"))) == "رياض" and one(spark, P.without_article(F.lit("الى"))) == "الى"
