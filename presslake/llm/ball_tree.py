@@ -100,7 +100,11 @@ def branch_and_bound(tree: BallTree, query_ids: np.ndarray, queries: np.ndarray,
             who, rows = active[at == one], leaves[one]
             score = queries[who] @ tree.data[rows].T
             score[query_ids[who][:, None] == tree.ids[rows][None, :]] = -np.inf
-            score[score < kth[who][:, None]] = -np.inf
+            score[score < np.maximum(kth, best[:, -1])[who][:, None]] = -np.inf
+            hit = (score > -np.inf).any(1)  # others stay as they are
+            who, score = who[hit], score[hit]
+            if not len(who):
+                continue
             best[who], best_ids[who] = merge(best[who], best_ids[who], score, np.broadcast_to(tree.ids[rows], score.shape), k)
     return best, best_ids
 

@@ -24,8 +24,8 @@ from presslake.session import checkpoint
 
 #: Rows and components of the sample, and cells of one dimension.
 SAMPLE, SAMPLE_VALUES = 4096, 1 << 20
-#: Vectors or queries in a packed row, and queries whose best finds a task remembers.
-PACK, REMEMBERED = 256, 1 << 16
+#: Vectors or queries in a packed row, queries that a shard answers at a time, and queries whose best finds a task remembers.
+PACK, ASKED, REMEMBERED = 256, 4096, 1 << 16
 PACKED = "dim int, cell int, n int, ids binary, data binary, kth binary"
 
 
@@ -244,24 +244,36 @@ def search(layout: Layout, queries: DataFrame, choose: Choose, build: Callable,
     names = ["group", "is_query", "dim", "ids", "data", "kth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, group, index, held = Best(k), None, None, []
+        best, group, index, held, asking = Best(k), None, None, [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal index
+            if asking and held:
+                if index is None:
+                    index = build(*(np.concatenate(x) for x in zip(*held)))
+                ids, data, kth = (np.concatenate(x) for x in zip(*asking))
+                at, found, score, cost = answer(index, ids, data, best.kth(ids, kth))
+                order = np.argsort(at, kind="stable")
+                edges = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    best.add(int(ids[at[order[a]]]), cost[order[a:b]])
+                if len(at):
+                    yield pa.record_batch([pa.array(ids[at]), pa.array(found), pa.array(score, kind)], names=["query_id", "vec_id", "score"])
+            asking.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["group"] != group:
+                    yield from answers()
                     group, index, held = row["group"], None, []
                 ids, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, row["dim"])
                 if not row["is_query"]:
                     held.append((ids, data))
                     continue
-                if not held:
-                    continue
-                if index is None:
-                    index = build(*(np.concatenate(x) for x in zip(*held)))
-                at, found, score, cost = answer(index, ids, data, best.kth(ids, np.frombuffer(row["kth"], np.float64)))
-                for i in np.unique(at).tolist():
-                    best.add(int(ids[i]), cost[at == i])
-                if len(at):
-                    yield pa.record_batch([pa.array(ids[at]), pa.array(found), pa.array(score, kind)], names=["query_id", "vec_id", "score"])
+                asking.append((ids, data, np.frombuffer(row["kth"], np.float64)))
+                if sum(len(i) for i, _, _ in asking) >= ASKED:
+                    yield from answers()
+        yield from answers()
 
     prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
