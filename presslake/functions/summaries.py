@@ -175,3 +175,29 @@ def social_posts(df: DataFrame) -> DataFrame:
     shown = fit.withColumn("media_type", social_media(F.col("media_type"), urls, F.col("video_url"), F.col("content"), F.col("mime"))).filter("media_type is not null")
     tags = F.when(F.size(F.coalesce(F.col("hashtags"), F.array().cast("array<string>"))) > 0, F.col("hashtags")).otherwise(C.hashtags(F.col("content")))
     return shown.withColumn("hashtags", tags).withColumn("engagement", social_engagement(F.col("platform"), count("reposts"), count("likes"), count("replies"), count("views")))
+
+
+#: Names in quotes or after a word for a body (fixed value).
+ENTITY = r"""[«"]([^»"]{2,80})[»"]|(?:شركة|وزارة|هيئة|جامعة|مؤسسة|مركز|مدينة|محافظة|دولة)\s+[\p{L}\p{N}][\p{L}\p{N}\s-]{2,60}"""
+
+
+def entities(text: Column, most: int = 15) -> Column:
+    """The first different names of under 90 characters that a text quotes or introduces (TX-37)."""
+    found = lambda group: F.regexp_extract_all(text, F.lit(ENTITY), F.lit(group))
+    names = F.transform(F.arrays_zip(found(1).alias("a"), found(0).alias("b")), lambda x: F.trim(F.coalesce(F.nullif(x["a"], F.lit("")), x["b"])))
+    return F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) < 90)), 1, most)
+
+
+def clip(text: Column, limit: int) -> Column:
+    """A text of at most ``limit`` characters, cut at the last sentence, comma or word if that leaves more than 0.55 of it (TX-39)."""
+    part = F.substring(text, 1, limit - 1)
+    before = F.regexp_extract(part, r"(?s)^(.*)(?:\. |؟|\.\n|،| )", 1)
+    cut = F.when(F.length(before) > limit * 0.55, before).otherwise(part)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"^\s+|\s+$", ""), F.lit("…")))
+
+
+def title_fits(title: Column, body: Column) -> Column:
+    """Whether a body speaks of its title: two of the title's words, or all of fewer, or 0.45 of them (FLT-28)."""
+    head = F.array_distinct(comparison_words(title))
+    shared = F.size(F.array_intersect(head, comparison_words(body)))
+    return (shared >= F.least(F.lit(2), F.size(head))) | (shared / F.greatest(F.size(head), F.lit(1)) >= 0.45)
