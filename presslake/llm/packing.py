@@ -8,7 +8,7 @@ open, so that the longest pieces are first to take the smallest gap that holds t
 decides where several want the same gap. Brackets are matched without a driver or a single task: a
 running sum over the range partitions gives every row its depth, and a piece's gap is the row before it
 at the same depth. The rows of one depth are few however large the tables are, as depth rises and falls
-once per size. Matched gaps shrink, and the sweep is repeated until few pieces find a gap. Pieces that
+once per size. Matched gaps shrink, and the sweep is repeated until no piece finds a gap. Pieces that
 have no successor then open sequences together: as many as any pieces of the class fit, in the order of
 their rank, or as many of one length as fit, what is left of the lengths by a running sum.
 
@@ -45,14 +45,16 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CLASSES = (2, 3, 4, 8, 32)
 #: Up to as many pieces to a sequence, any of a class fit; beyond, those of one length are put together.
 SHORT = 4
-#: Sweeps go on while this part of a class's pieces finds a gap.
-FEW = 50
 
 _encoders: dict = {}
 
 
-def encoder(vocabulary: str, pattern: str, special: str, special_id: int):
-    """text -> ids of the vocabulary's ranks; ``special`` inside a text is its own id, as the JSON form of the same vocabulary has it."""
+def encoder(vocabulary: str, pattern: str, tokenizer: str, special: str, special_id: int):
+    """text -> ids of the vocabulary's ranks; ``special`` inside a text is its own id, as the JSON form ``tokenizer`` of the same vocabulary has it.
+
+    The pattern looks ahead behind white space, and its engine gives up with a ValueError on a run of about a
+    million white-space characters; such a text is encoded by the JSON form, which cuts it without looking back.
+    """
     if (vocabulary, special) not in _encoders:
         import tiktoken
 
@@ -60,15 +62,26 @@ def encoder(vocabulary: str, pattern: str, special: str, special_id: int):
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _encoders[vocabulary, special] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: special_id})
     own = _encoders[vocabulary, special]
-    return lambda text: own.encode(text, allowed_special={special}, disallowed_special=())
+
+    def encode(text: str) -> list[int]:
+        try:
+            return own.encode(text, allowed_special={special}, disallowed_special=())
+        except ValueError:
+            if tokenizer not in _encoders:
+                from tokenizers import Tokenizer
+
+                _encoders[tokenizer] = Tokenizer.from_file(tokenizer)
+            return _encoders[tokenizer].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, special: str = "<|endoftext|>", special_id: int = 50256, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, tokenizer: str, special: str = "<|endoftext|>", special_id: int = 50256, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every document's ids and end token, cut into pieces of at most ``capacity``; only the first piece may be shorter."""
-    place = shipped(docs.sparkSession, vocabulary)
+    place, json_place = shipped(docs.sparkSession, vocabulary), shipped(docs.sparkSession, tokenizer)
 
     def start():
-        encode = encoder(place(), pattern, special, special_id)
+        encode = encoder(place(), pattern, json_place(), special, special_id)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
@@ -196,7 +209,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             idle.append(gaps.filter(within(0, low)))
             gaps = gaps.filter(F.col("size") > low)
             rest, n_gaps = swept.agg(F.count("missed"), F.count_if(~F.col("is_piece") & ((after > low) | (F.lit(each) > 1)) & (F.col("slot") == 0))).first()
-            if not rest or not n_gaps or (wanted - rest) * FEW < rest:
+            if not rest or not n_gaps or rest == wanted:
                 break
             left, wanted = left.select(*ROW), rest
         for group in grouped(left, number, capacity // high, high, capacity, partitions) if rest else ():
@@ -208,11 +221,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return together.withColumn("offset", F.sum("length").over(so_far) - F.col("length")).drop("key")
 
 
-def best_fit(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    return pack(pieces(docs, vocabulary, pattern))
+def best_fit(docs: DataFrame, vocabulary: str, pattern: str, tokenizer: str) -> DataFrame:
+    return pack(pieces(docs, vocabulary, pattern, tokenizer))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return best_fit(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return best_fit(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))

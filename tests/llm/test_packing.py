@@ -51,7 +51,7 @@ def test_pieces_are_the_librarys_ids(spark):
         for k, a in enumerate([0, *range(first, len(ids), 1024)]):
             b = min(a + 1024, len(ids)) if k else first
             want.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-    rows = packing.best_fit(spark.createDataFrame([(*x, "other", "k") for x in texts], DOC), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    rows = packing.best_fit(spark.createDataFrame([(*x, "other", "k") for x in texts], DOC), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json")).collect()
     assert sorted((tuple(r[:5]) for r in rows), key=repr) == sorted(want, key=repr)
     assert whole(rows) <= best_fit_decreasing([w[3] for w in want]) + 1
 
@@ -66,5 +66,19 @@ def test_as_few_sequences_as_sequential_best_fit(spark, name):
     assert whole(rows) <= 1.02 * best_fit_decreasing(lengths) + 2
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, " " * 5_000_000, " " * 1_000_000 + "x", "\n" * 1_000_000 + " a", "a" + "\t" * 1_200_000, "x" * 5_000_000, "." * 1_000_000, "é" * 1_000_000], ids=lambda t: f"{t[0]!r}x{len(t)}{t[-1]!r}")
+def test_very_long_runs_are_the_librarys_ids(text):
+    from tokenizers import Tokenizer
+
+    encode = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"), "<|endoftext|>", 50256)
+    assert list(encode(text)) == Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_of_white_space_is_packed(spark):
+    rows = packing.best_fit(spark.createDataFrame([(1, " " * 1_000_000 + "x", "", ""), (2, "short", "", "")], DOC), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == 1_000_001
+    assert whole(rows) == 977  # 1,000,001 ids are 976 whole pieces and one of 577, and the short text's two ids have a place
+
+
 def test_empty_table(spark):
-    assert packing.best_fit(spark.createDataFrame([], DOC), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert packing.best_fit(spark.createDataFrame([], DOC), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json")).count() == 0
