@@ -1,4 +1,4 @@
-"""Operators over stories: near duplicates by title, states in time, and the lists a reader or an editor is shown."""
+"""Operators over stories: tiers of duplicates, states in time, and the lists a reader or an editor is shown."""
 
 from __future__ import annotations
 
@@ -9,29 +9,6 @@ from pyspark.sql import functions as F
 
 from presslake.functions import columns as C
 
-#: Candidates of a story, and the least title score, in percent, of a duplicate (fixed values).
-CANDIDATES, LEAST_SCORE = 80, 82
-
-
-def near_titles(df: DataFrame, key: str, ts: str, category: str, title: str, width: timedelta = timedelta(hours=36), most: int = CANDIDATES, least: int = LEAST_SCORE) -> DataFrame:
-    """(key, original, score): stories whose title is like that of an earlier one of their category at most ``width`` before (JN-12, TX-5).
-
-    Equi-join on category and time bucket; of the stories before it a story meets the ``most`` newest, which
-    Spark cuts to that number in each task before the shuffle; the best score is kept, of equals the newest.
-    """
-    micros = int(width.total_seconds()) * 1_000_000
-    slim = df.select(F.col(key).alias("k"), F.col(category).alias("c"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), C.tokens(C.normalized(F.col(title))).alias("words")).filter("at is not null")
-    slim = slim.withColumn("bucket", F.floor(F.col("at") / micros))
-    later = slim.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") - 1)))
-    earlier = slim.select("c", "bucket", F.col("k").alias("original"), F.col("at").alias("before"), F.col("words").alias("other"))
-    first = (F.col("before") < F.col("at")) | ((F.col("before") == F.col("at")) & (F.col("original") < F.col("k")))
-    pairs = later.join(earlier, ["c", "bucket"]).filter(first & (F.col("at") - F.col("before") <= micros))
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.col("before").desc(), F.col("original").desc()))
-    scored = pairs.withColumn("place", place).filter(F.col("place") <= most).withColumn("score", C.half_up(C.token_similarity(F.col("words"), F.col("other")) * 100).cast("int"))
-    best = scored.filter(F.col("score") >= least).groupBy("k").agg(F.max(F.struct("score", "before", "original")).alias("best"))
-    return best.select(F.col("k").alias(key), "best.original", "best.score")
-
-
 def tiered_duplicates(exact: DataFrame, near: DataFrame, key: str) -> DataFrame:
     """(key, tier, original) of ``exact`` (key, tier, original), then of ``near`` (key, original, score) for keys without an exact one (STR-4)."""
     rest = near.join(exact.select(key), key, "left_anti").select(key, F.lit("title").alias("tier"), "original")

@@ -6,6 +6,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from presslake.operators import duplicates as D
+from presslake.operators import monitoring as M
 from presslake.operators import relations as R
 from presslake.operators import stories as S
 from presslake.plans.catalog import query
@@ -39,7 +41,7 @@ def near_titles(spark, sf_dir):
     """JN-12 with its title score: parts as stories of their brand; 60 percent, as their names are short."""
     at = moment("2024-01-01") + F.make_dt_interval(hours=(F.col("p_partkey") % 700).cast("int"))
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_brand").alias("title"), at.alias("at"))
-    return S.near_titles(parts, "p_partkey", "at", "p_brand", "title", timedelta(hours=36), least=60)
+    return D.near_titles(parts, "p_partkey", "at", "p_brand", "title", timedelta(hours=36), least=60)
 
 
 @query(
@@ -57,6 +59,50 @@ def tiered_duplicates(spark, sf_dir):
     return S.tiered_duplicates(exact, near_titles(spark, sf_dir), "p_partkey")
 
 
+_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''))"
+
+
+@query(
+    "first_writers",
+    f"""WITH RECURSIVE t AS (SELECT p_partkey AS k, p_brand AS c, {TIMES} AS at, p_name AS name, p_type || p_size AS event, {_WORDS.format(TITLE)} AS words, row_number() OVER (PARTITION BY p_brand ORDER BY {TIMES}, p_partkey) AS n FROM part),
+        s AS (SELECT c, 0 AS n, CAST(NULL AS BIGINT) AS k, CAST([] AS STRUCT(seen TIMESTAMP, k BIGINT, name VARCHAR, event VARCHAR, words VARCHAR[])[]) AS kept, CAST(NULL AS STRUCT(tier INTEGER, score INTEGER, seen TIMESTAMP, k BIGINT)) AS hit FROM (SELECT DISTINCT p_brand AS c FROM part)
+              UNION ALL
+              SELECT c, n, k, CASE WHEN hit IS NULL THEN list_append(kept, own) ELSE kept END, hit FROM (
+                SELECT t.c, t.n, t.k, s.kept, {{'seen': t.at, 'k': t.k, 'name': t.name, 'event': t.event, 'words': t.words}} AS own,
+                       list_max(list_concat(
+                         list_transform(list_filter(s.kept, lambda x: x.name = t.name AND t.at - x.seen <= INTERVAL 36 HOUR), lambda x: {{'tier': 2, 'score': 100, 'seen': x.seen, 'k': x.k}}),
+                         list_transform(list_filter(s.kept, lambda x: x.event = t.event AND t.at - x.seen <= INTERVAL 36 HOUR), lambda x: {{'tier': 1, 'score': 90, 'seen': x.seen, 'k': x.k}}),
+                         list_filter(list_transform(list_filter(s.kept[-80:], lambda x: t.at - x.seen <= INTERVAL 36 HOUR), lambda x: {{'tier': 0, 'score': CAST(floor(len(list_intersect(x.words, t.words)) * 100.0 / greatest(len(x.words), len(t.words)) + 0.5) AS INTEGER), 'seen': x.seen, 'k': x.k}}), lambda h: h.score >= 60))) AS hit
+                FROM s JOIN t ON t.c = s.c AND t.n = s.n + 1))
+        SELECT k AS p_partkey, ['title_similarity', 'event_similarity', 'normalized_title'][hit.tier + 1] AS tier, hit.k AS original, hit.score AS score FROM s WHERE n > 0""",
+)
+def first_writers(spark, sf_dir):
+    """STR-4 as a fold in order: a story is a duplicate of one that stays by its name, its type and size, or 60 percent of its title's words."""
+    at = moment("2024-01-01") + F.make_dt_interval(hours=(F.col("p_partkey") % 700).cast("int"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size", F.concat_ws(" ", "p_name", "p_brand").alias("title"), at.alias("at"))
+    return D.first_writers(parts, "p_partkey", "at", "p_brand", "title", {"normalized_title": F.col("p_name"), "event_similarity": F.concat("p_type", "p_size")}, least=60)
+
+
+@query(
+    "page_monitor",
+    """WITH c AS (SELECT event_id, user_id, ts, ['Active', 'Updated', 'Removed', 'Unavailable', 'Redirected', 'Temporarily Unreachable'][CAST(event_id % 6 AS INTEGER) + 1] AS status, value >= 50 AS ok, ['published', 'review', 'draft'][CAST(user_id % 3 AS INTEGER) + 1] AS first FROM events),
+       n AS (SELECT *, row_number() OVER w AS attempts, max(CASE WHEN status = 'Removed' THEN ts END) OVER w AS gone_at,
+                    coalesce(max(CASE WHEN status NOT IN ('Unavailable', 'Temporarily Unreachable') THEN place END) OVER w, 0) AS answered, coalesce(max(CASE WHEN status = 'Removed' THEN place END) OVER w, 0) AS gone, min(CASE WHEN status = 'Removed' THEN place END) OVER w AS gone_first,
+                    coalesce(max(CASE WHEN status IN ('Active', 'Updated', 'Redirected') AND ok THEN place END) OVER w, 0) AS seen
+             FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM c) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+       b AS (SELECT *, coalesce(lag(gone) OVER w, 0) > coalesce(lag(seen) OVER w, 0) AS was_away FROM n WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+       SELECT event_id, user_id, status, attempts, attempts - answered AS failures, CASE WHEN gone > seen THEN 'review' WHEN first = 'published' OR gone_first IS NULL THEN first ELSE 'review' END AS publication,
+              CASE WHEN gone > seen THEN CASE WHEN first = 'published' OR seen < gone_first THEN first ELSE 'review' END END AS previous, epoch_us(CASE WHEN gone > seen THEN gone_at END) AS removed_at,
+              status = 'Removed' AND NOT was_away AND first = 'published' AS hidden, status IN ('Active', 'Updated', 'Redirected') AND ok AND was_away AND first = 'published' AS restored FROM b""",
+)
+def page_monitor(spark, sf_dir):
+    """STR-11: events as checks of a user's page; a low value is a page that couldn't be read again."""
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    checks = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", pick(["Active", "Updated", "Removed", "Unavailable", "Redirected", "Temporarily Unreachable"], F.col("event_id") % 6).alias("status"))
+    states = M.page_states(checks, "user_id", "ts", "event_id", "status", pick(["published", "review", "draft"], F.col("user_id") % 3), F.col("value") >= 50)
+    return states.select("event_id", "user_id", "status", *M.STATE).withColumn("removed_at", F.unix_micros(F.col("removed_at").cast("timestamp")))
+
+
 @query("freshness_gate", f"SELECT CASE WHEN ts < TIMESTAMP '{START}' THEN 'outside_window' WHEN ts > TIMESTAMP '{NOW}' + INTERVAL 15 MINUTE THEN 'in_future' ELSE 'in' END AS gate, count(*) AS n FROM events GROUP BY ALL")
 def freshness_gate(spark, sf_dir):
     """STR-2, STR-3."""

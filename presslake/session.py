@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +44,11 @@ def ship(spark: SparkSession) -> None:
     context._presslake_shipped = True
 
 
+def by_value(name: str) -> None:
+    """Send what a module of this package defines along with what uses it: a stream's processor is also set up where the shipped package isn't."""
+    register_pickle_by_value(sys.modules[name])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of this session under the one that the cluster names in spark.checkpoint.dir.
 
