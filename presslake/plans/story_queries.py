@@ -12,6 +12,7 @@ from presslake.operators import relations as R
 from presslake.operators import stories as S
 from presslake.plans.catalog import query
 from presslake.session import read
+from presslake.streaming import expiry
 
 NOW = "2024-01-30 12:00:00"
 START = "2024-01-24 00:00:00"
@@ -103,6 +104,28 @@ def page_monitor(spark, sf_dir):
     return states.select("event_id", "user_id", "status", *M.STATE).withColumn("removed_at", F.unix_micros(F.col("removed_at").cast("timestamp")))
 
 
+@query(
+    "local_day_counts",
+    """WITH d AS (SELECT event_type AS category, CAST(ts - INTERVAL 5 HOUR AS DATE) AS day FROM events)
+       SELECT category, day, epoch_us(CAST(day AS TIMESTAMP) + INTERVAL 5 HOUR) AS begins, epoch_us(CAST(day AS TIMESTAMP) + INTERVAL 29 HOUR) AS ends, count(*) AS n FROM d GROUP BY category, day""",
+)
+def local_day_counts(spark, sf_dir):
+    """STR-7: events by local day of New York, which is five hours behind in January."""
+    return expiry.local_day_counts(stories(spark, sf_dir), "event_type", "ts", "America/New_York")
+
+
+@query(
+    "breaking_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'error'),
+            s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+       SELECT CAST(user_id AS VARCHAR) AS story, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, epoch_us(max(ts) + INTERVAL 12 HOUR) AS until, count(*) AS sightings FROM s GROUP BY user_id, session""",
+)
+def breaking_sessions(spark, sf_dir):
+    """STR-10: when breaking stories, a user's errors, end."""
+    found = expiry.breaking_expiry(stories(spark, sf_dir).filter("event_type = 'error'"), "user_id", "ts", "1 hour")
+    return found.withColumns({c: F.unix_micros(c) for c in ("first", "last", "until")})
+
+
 @query("freshness_gate", f"SELECT CASE WHEN ts < TIMESTAMP '{START}' THEN 'outside_window' WHEN ts > TIMESTAMP '{NOW}' + INTERVAL 15 MINUTE THEN 'in_future' ELSE 'in' END AS gate, count(*) AS n FROM events GROUP BY ALL")
 def freshness_gate(spark, sf_dir):
     """STR-2, STR-3."""

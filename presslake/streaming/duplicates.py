@@ -14,7 +14,7 @@ from presslake.operators import duplicates
 from presslake.operators.duplicates import CANDIDATES, HOURS, LEAST_SCORE, FirstWriters
 from presslake.session import by_value
 
-DECISION = "category string, number long, at long, late boolean, tier string, original long, score int"
+DECISION = "category string, number long, at long, tier string, original long, score int"
 OUT = Row(*(field.split()[0] for field in DECISION.split(", ")))
 HOUR = 3_600_000_000
 
@@ -41,7 +41,7 @@ class StoredWriters(FirstWriters):
 
 
 class DuplicateTiers(StatefulProcessor):
-    """Stories of a category wait until the watermark has passed them, and are decided in order; those that come later are given back as late.
+    """Stories of a category wait until the watermark has passed them, and are decided in order; those that come later are dropped by Spark, before they get here.
 
     State of a category: stories that wait (bounded by the delay), values of those that stay, by hour, for ``width``,
     and their newest titles, ``most`` at most. A timer an hour forgets the values that are too old to match.
@@ -58,13 +58,10 @@ class DuplicateTiers(StatefulProcessor):
         self.recent = handle.getValueState("recent", "stories array<struct<at: long, number: long, words: array<string>>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         for row in rows:
-            if row.at < watermark:
-                yield OUT(key[0], row.number, row.at, True, None, None, None)
-                continue
             self.waiting.updateValue((row.at, row.number), (row.words, row.tiers))
             self.handle.registerTimer(row.at // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -77,7 +74,7 @@ class DuplicateTiers(StatefulProcessor):
                 decision = writers.decide(at, number, dict(zip(self.tiers, tiers)), words)
                 if decision[0] is None:
                     self.handle.registerTimer(((at // HOUR + 1) * HOUR + self.width) // 1000 + 1)
-                yield OUT(key[0], number, at, False, *decision)
+                yield OUT(key[0], number, at, *decision)
             self.recent.update(([(at, number, list(words)) for at, number, words in writers.recent],))
         for (hour,) in [tuple(k) for k in self.hours.keys() if (k[0] + 1) * HOUR + self.width < passed]:
             for name in self.hours.getValue((hour,))[0]:

@@ -1,9 +1,8 @@
-"""States that end by themselves: breaking stories expire, local days are closed, each by a timer of event time (STR-10, STR-7)."""
+"""States that end by themselves: breaking stories expire, local days are closed, once event time has passed (STR-10, STR-7)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -11,74 +10,41 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from presslake.session import by_value
 
-EXPIRY = "story string, until long, published long, sightings long"
-DAY = "category string, day date, begins long, ends long, n long, late boolean"
-EXPIRED, CLOSED = (Row(*(field.split()[0] for field in schema.split(", "))) for schema in (EXPIRY, DAY))
+DAY = "category string, day date, begins long, ends long, n long"
+CLOSED = Row(*(field.split()[0] for field in DAY.split(", ")))
 
 
-class BreakingExpiry(StatefulProcessor):
-    """Keeps the newest publication of a breaking story; when the watermark passes its end, gives the story and forgets it. A later sighting moves the end."""
+def breaking_expiry(stream: DataFrame, story: str, ts: str, delay: str, width: str = "12 hours") -> DataFrame:
+    """(story, first, last, until, sightings) when a breaking story ends: ``width`` after its newest sighting, once the watermark has passed that; one seen again later is a new one.
 
-    def __init__(self, width: int):
-        self.width = width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.story = handle, handle.getValueState("story", "published long, sightings long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        published, sightings = self.story.get() if self.story.exists() else (None, 0)
-        before = published
-        for row in rows:
-            published, sightings = max(row.at, published or row.at), sightings + 1
-        if published != before:
-            if before is not None:
-                self.handle.deleteTimer(self.end(before))
-            self.handle.registerTimer(self.end(published))
-        self.story.update((published, sightings))
-        return iter(())
-
-    def end(self, published: int) -> int:
-        return (published + self.width) // 1000 + 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        published, sightings = self.story.get()
-        self.story.clear()
-        yield EXPIRED(key[0], published + self.width, published, sightings)
-
-    def close(self) -> None:
-        pass
-
-
-def breaking_expiry(stream: DataFrame, story: str, ts: str, delay: str, width: timedelta = timedelta(hours=12)) -> DataFrame:
-    """EXPIRY rows of a stream of sightings of breaking stories: one when a story's newest publication is ``width`` ago; one seen again after that is a new one."""
-    by_value(__name__)
+    Sightings less than ``width`` apart are a session, which Spark merges whatever their order. Works for tables, too.
+    """
     at = F.col(ts).cast("timestamp")
-    own = stream.select(F.col(story).cast("string").alias("story"), at.alias("seen"), F.unix_micros(at).alias("at")).filter("seen is not null")
-    return own.withWatermark("seen", delay).groupBy("story").transformWithState(BreakingExpiry(int(width.total_seconds()) * 1_000_000), EXPIRY, "Append", "EventTime")
+    own = stream.select(F.col(story).cast("string").alias("story"), at.alias("seen")).filter("seen is not null").withWatermark("seen", delay)
+    found = own.groupBy(F.session_window("seen", width).alias("span"), "story").agg(F.max("seen").alias("last"), F.count("*").alias("sightings"))
+    return found.select("story", F.col("span.start").alias("first"), "last", F.col("span.end").alias("until"), "sightings")
 
 
 class LocalDays(StatefulProcessor):
-    """Counts a category's rows of a local day until the watermark has passed its end, then closes it; rows that come later are given back, as counts of their batch."""
+    """Counts a category's rows of a local day; a timer closes the day when the watermark has passed its end. Rows that come later are dropped by Spark, before they get here."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.count = handle, handle.getValueState("count", "n long, begins long, ends long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n, begins, ends = 0, None, None
+        n, begins, ends = self.count.get() if self.count.exists() else (0, None, None)
+        new = ends is None
         for row in rows:
             n, begins, ends = n + 1, row.begins, row.ends
-        if ends <= timerValues.getCurrentWatermarkInMs() * 1000:
-            yield CLOSED(*key, begins, ends, n, True)
-            return
-        known = self.count.get()[0] if self.count.exists() else 0
-        self.count.update((known + n, begins, ends))
-        if not known:
+        self.count.update((n, begins, ends))
+        if new:
             self.handle.registerTimer(ends // 1000)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         n, begins, ends = self.count.get()
         self.count.clear()
-        yield CLOSED(*key, begins, ends, n, False)
+        yield CLOSED(*key, begins, ends, n)
 
     def close(self) -> None:
         pass
@@ -93,7 +59,7 @@ def with_local_day(df: DataFrame, ts: str, zone: str) -> DataFrame:
 
 
 def local_days(stream: DataFrame, category: str, ts: str, zone: str, delay: str) -> DataFrame:
-    """DAY rows of a stream: one for every category and local day when the day is over, and others for rows that come after that. The session's zone must be UTC."""
+    """DAY rows of a stream: one for every category and local day when the day is over. The session's zone must be UTC."""
     by_value(__name__)
     own = with_local_day(stream.select(F.col(category).cast("string").alias("category"), F.col(ts).cast("timestamp").alias("seen")).filter("seen is not null"), "seen", zone)
     return own.withWatermark("seen", delay).groupBy("category", "day").transformWithState(LocalDays(), DAY, "Append", "EventTime")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from presslake.operators.monitoring import PUBLISHED, REMOVED, REVIEW, TEMPORARY
 from presslake.session import by_value
 
-TRANSITION = "page string, number long, at timestamp, status string, late boolean, attempts long, failures long, publication string, previous string, removed_at timestamp, hidden boolean, restored boolean"
+TRANSITION = "page string, number long, at timestamp, status string, attempts long, failures long, publication string, previous string, removed_at timestamp, hidden boolean, restored boolean"
 OUT = Row(*(field.split()[0] for field in TRANSITION.split(", ")))
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -27,7 +27,7 @@ def time_of(micros: int) -> datetime:
 
 
 class PageMonitor(StatefulProcessor):
-    """Checks wait in a map until the watermark has passed their time and are then applied in order; a check that comes later than that is given back as late and changes nothing.
+    """Checks wait in a map until the watermark has passed their time and are then applied in order; one that comes later than that is dropped by Spark, before it gets here.
 
     State of a page: attempts, failures, publication, previous, removed_at; and the checks that wait, which the
     watermark's delay bounds.
@@ -39,14 +39,11 @@ class PageMonitor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "at long, number long", "status string, initial string, refreshed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         for row in rows:
             at = micros_of(row.at)
-            if at < watermark:
-                yield OUT(key[0], row.number, row.at, row.status, True, *([None] * 7))
-                continue
             self.waiting.updateValue((at, row.number), (row.status, row.initial, row.refreshed))
             self.handle.registerTimer(at // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -65,7 +62,7 @@ class PageMonitor(StatefulProcessor):
                 previous, publication, removed_at = previous or publication, REVIEW, at
             elif restoring:
                 publication, previous, removed_at = PUBLISHED if restored else publication, None, None
-            yield OUT(key[0], number, time_of(at), status, False, attempts, failures, publication, previous, None if removed_at is None else time_of(removed_at), hidden, restored)
+            yield OUT(key[0], number, time_of(at), status, attempts, failures, publication, previous, None if removed_at is None else time_of(removed_at), hidden, restored)
         self.page.update((attempts, failures, publication, previous, removed_at))
 
     def close(self) -> None:
