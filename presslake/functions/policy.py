@@ -162,7 +162,11 @@ def validate(title: Column, url: Column, canonical: Column, published: Column, p
 
 def geography(title: Column, body: Column, country: Column, region: Column) -> Column:
     """struct<relevance, region>: the first region named, else national, Gulf and Arab terms, else what the source says (MA-5)."""
-    text = C.normalized(F.concat_ws(" ", title, body))
+    return place_of(C.normalized(F.concat_ws(" ", title, body)), country, region)
+
+
+def place_of(text: Column, country: Column, region: Column) -> Column:
+    """geography() of normalized text; every step reads ``text``, which is best held in a column."""
     place = lambda relevance, name: F.struct(F.lit(relevance).alias("relevance"), name.alias("region"))
     ladder = None
     for name, terms in REGIONS.items():

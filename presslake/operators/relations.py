@@ -40,15 +40,24 @@ def balanced_top(df: DataFrame, category: str, order: list[Column], limit: int,
     return some.orderBy((first | (F.col(place) <= cap)).desc(), *by).limit(limit).drop(place)
 
 
-def overlap_counts(df: DataFrame, key: str, items: str, target: DataFrame) -> DataFrame:
-    """Rows of df, but for the target's own, by how many pairs of equal items they make with target's (JN-10): repeated items count each time.
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often they are used: an explode of one row, into which the optimiser doesn't fold its uses."""
+    own = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("held_")
+    return df.select("*", own).select(*df.columns, *(F.col(f"held_.{n}").alias(n) for n in columns))
 
-    ``target`` is one row (key, items): its items and their counts are sent along with the plan.
+
+def overlap_counts(df: DataFrame, key: str, items: str, target: DataFrame, own: str | None = None, most: int = 200_000) -> DataFrame:
+    """(key, overlap), or with ``own`` (own, key, overlap): rows of df, but for the target's own, by how many pairs of equal items they make with a target's (JN-10); repeated items count each time.
+
+    ``target`` holds rows (key, items). An equi-join on items with their counts, which are broadcast where they are ``most`` or fewer.
     """
-    own = target.select(F.col(key).alias("own_key"), F.explode(items).alias("item")).groupBy("own_key", "item").agg(F.count("*").alias("times"))
-    wanted = F.broadcast(own.groupBy("own_key").agg(F.map_from_entries(F.collect_list(F.struct("item", "times"))).alias("times")))
-    pairs = F.aggregate(F.col(items), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.try_element_at("times", x), F.lit(0).cast("long")))
-    return df.join(wanted, F.col(key) != F.col("own_key")).select(key, pairs.alias("overlap")).filter("overlap > 0")
+    name = own or "own_key"
+    wanted = target.select(F.col(key).alias(name), F.explode(items).alias("item")).groupBy(name, "item").agg(F.count("*").alias("times"))
+    if wanted.limit(most + 1).count() <= most:
+        wanted = F.broadcast(wanted)
+    pairs = df.select(key, F.explode(items).alias("item")).join(wanted, "item").filter(F.col(key) != F.col(name))
+    found = pairs.groupBy(name, key).agg(F.sum("times").alias("overlap"))
+    return found if own else found.drop(name)
 
 
 def exact_duplicates(df: DataFrame, key: str, tiers: dict[str, list[str]]) -> DataFrame:

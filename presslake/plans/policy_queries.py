@@ -74,12 +74,13 @@ WEIGHTS = {"recency": 30, "saudi": 20, "breaking": 25, "source": 10, "impact": 1
 )
 def editorial_priority(spark, sf_dir):
     """MA-4 over events as articles of the headlines."""
-    title = C.normalized(titled("event_id"))
     age = F.greatest(F.lit(0.0), (F.unix_micros(moment(NOW).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(3.6e9))
-    near = P.geography(titled("event_id"), F.lit(""), F.lit("FR"), F.lit(""))["relevance"]
     k = F.col("event_id")
-    score = P.priority(title, near, age, F.col("value"), F.col("user_id") % 25, F.lit("a.org"), k % 17 == 0, k % 5, F.lit(2.0), WEIGHTS, 48)
-    return read(spark, sf_dir, "events").select("event_id", score.alias("p")).select("event_id", "p.score", "p.level")
+    # folded text and nearness are used by many terms: each is computed once
+    plain = R.held(read(spark, sf_dir, "events"), title=C.normalized(titled("event_id")))
+    plain = R.held(plain, near=P.place_of(F.col("title"), F.lit("FR"), F.lit(""))["relevance"])
+    score = P.priority(F.col("title"), F.col("near"), age, F.col("value"), F.col("user_id") % 25, F.lit("a.org"), k % 17 == 0, k % 5, F.lit(2.0), WEIGHTS, 48)
+    return plain.select("event_id", score.alias("p")).select("event_id", "p.score", "p.level")
 
 
 @query(
