@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from presslake.plans import catalog, item_queries, policy_queries, queries, repair_queries, signature_queries, story_queries, text_queries  # noqa: F401
+from presslake.plans import catalog, item_queries, policy_queries, queries, repair_queries, signature_queries, story_queries, term_queries, text_queries  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
