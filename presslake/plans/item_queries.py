@@ -11,7 +11,8 @@ from presslake.functions import summaries as S
 from presslake.operators import runs as R
 from presslake.plans.catalog import query
 from presslake.session import read
-from presslake.sources import items
+from presslake.sources import captures, items
+from presslake.sources.trees import walk
 
 NOW = "2024-01-30 12:00:00"
 #: Plain SQL for the folded words of a text without Arabic letters.
@@ -52,6 +53,39 @@ def listing_items(spark, sf_dir):
     return items.listing_items(pages).withColumn("published", F.col("published").cast("timestamp_ntz"))
 
 
+@query(
+    "json_nodes",
+    """SELECT event_id, 0 AS depth, NULL AS name, CAST(json(props) AS VARCHAR) AS value, 1 AS number FROM events WHERE props IS NOT NULL
+       UNION ALL SELECT event_id, 1, j.key, CAST(j.value AS VARCHAR), CAST(row_number() OVER (PARTITION BY event_id ORDER BY j.key) AS INTEGER) + 1 FROM events, json_each(props) j""",
+)
+def json_nodes(spark, sf_dir):
+    """SRC-16: all nodes of the JSON that events carry."""
+    trees = read(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("tree"))
+    return walk(trees, ["event_id"], "tree").select("event_id", "depth", "name", F.to_json("value").alias("value"), "number")
+
+
+@query(
+    "captured_items",
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS source, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages)
+        SELECT source, CASE WHEN len(source) % 2 = 0 THEN 'api' ELSE 'rss' END AS method, page_id // 100 AS sequence, CAST(page_id AS VARCHAR) AS guid, url AS link, page_id,
+               trim(regexp_replace(replace(replace(replace(regexp_replace(h1, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g')) AS title FROM p""",
+)
+def captured_items(spark, sf_dir):
+    """SRC-2, SRC-13, SRC-20: the pages' own URLs as feeds and interfaces of their hosts, 100 ids to a body; discovered, the best method chosen, and hydrated by their pages."""
+    pages = read(spark, sf_dir, "pages")
+    named = pages.select("page_id", "url", F.lower(F.parse_url("url", F.lit("HOST"))).alias("source"), F.floor(F.col("page_id") / 100).alias("sequence"))
+    link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    entry = F.concat(F.lit("<item><title>untitled</title><link>"), link, F.lit("</link><guid>"), F.col("page_id").cast("string"), F.lit("</guid></item>"))
+    feed = F.concat(F.lit("<rss>"), F.array_join(F.sort_array(F.collect_list(entry)), ""), F.lit("</rss>"))
+    api = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("page_id").alias("id"), "url", F.lit("untitled").alias("title")))))
+    each = named.groupBy("source", "sequence").agg(feed.alias("rss"), api.alias("api"))
+    # hosts of an even length have an interface and a feed, the others a feed only
+    of = lambda method: each.select("source", F.lit(method).alias("method"), "sequence", F.concat(F.lit("https://"), "source").alias("url"), F.col(method).alias("body"), F.lit(None).cast("string").alias("error"))
+    bodies = of("rss").unionByName(of("api").filter(F.length("source") % 2 == 0))
+    chosen = captures.by_priority(captures.discover(bodies, ("api", "rss")), least=1)
+    return captures.hydrated(chosen, pages).select("source", "method", "sequence", "guid", "link", "page_id", "title")
+
+
 @query(
     "hydrated_pages",
     r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1) AS scope FROM pages),

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.functions import markup as M
@@ -15,13 +10,13 @@ from presslake.functions import policy as P
 from presslake.functions.dates import source_date
 from presslake.operators.relations import newest
 from presslake.sources.pages import json_ld
+from presslake.sources.trees import BUDGET, is_object, is_text, member, walk
 
 STATE = r"""(?is)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
 ANCHOR = r"""(?is)(<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>)"""
 PARAGRAPH = r"(?is)(<p\b[^>]*>.*?</p>)"
 #: Classes of an article's body (fixed values).
 BODY = r"""(?is)<(?:main|div|section)\b[^>]*class=["'][^"']*(?:article-body|article-content|story-content|entry-content|post-content)[^"']*["'][^>]*>(.*?)</(?:main|div|section)>"""
-FOUND = "page_id long, item string, title string, link string, published string, content string"
 
 
 def api_items(spark: SparkSession, path: str, base: str) -> DataFrame:
@@ -29,45 +24,27 @@ def api_items(spark: SparkSession, path: str, base: str) -> DataFrame:
     return api_entries(spark.read.text(path, wholetext=True), "value", base)
 
 
-def api_entries(bodies: DataFrame, body: str, base: str) -> DataFrame:
-    """As ``api_items``, from a column of captured bodies; one that isn't JSON gives no rows."""
-    root = bodies.select(F.try_parse_json(body).alias("v")).filter("v is not null")
+def api_entries(bodies: DataFrame, body: str, base: str | Column, keep: list[str] | tuple = ()) -> DataFrame:
+    """As ``api_items``, from a column of captured bodies, with the columns to ``keep``; one that isn't JSON gives no rows."""
+    root = bodies.select(*keep, (base if isinstance(base, Column) else F.lit(base)).alias("base_"), F.try_parse_json(body).alias("v")).filter("v is not null")
     member = lambda at: F.try_variant_get("v", at, "array<variant>")
     entries = F.when(F.schema_of_variant("v").startswith("ARRAY"), member("$")).otherwise(F.coalesce(member("$.items"), member("$.articles")))
-    rows = root.select(F.explode(entries).alias("v"))
+    rows = root.select(*keep, "base_", F.explode(entries).alias("v"))
     said = lambda *names: M.first_said(*[F.try_variant_get("v", f"$.{n}", "string") for n in names])
-    out = rows.select(said("id", "article_id").alias("item"), said("guid", "id").alias("guid"), M.absolute_url(said("url", "link"), F.lit(base)).alias("link"), said("title", "headline").alias("title"), F.nullif(said("published_at", "publishedAt", "date"), F.lit("")).alias("published"))
+    out = rows.select(*keep, said("id", "article_id").alias("item"), said("guid", "id").alias("guid"), M.absolute_url(said("url", "link"), F.col("base_")).alias("link"), said("title", "headline").alias("title"), F.nullif(said("published_at", "publishedAt", "date"), F.lit("")).alias("published"))
     return out.filter("link <> '' and title <> ''")
 
 
-def app_state(pages: DataFrame) -> DataFrame:
-    """Objects with a text title in the state that a page's script holds, at any depth, nearest first (SRC-10); pages: (page_id, html).
+def app_state(pages: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Objects with a text title in the state that a page's script holds, at any depth, nearest first by ``ordinal`` (SRC-10); pages: (page_id, html).
 
     A state that isn't JSON gives no rows.
     """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page, text in zip(batch.column("page_id").to_pylist(), batch.column("state").to_pylist()):
-                try:
-                    queue = deque([json.loads(text)])
-                except (ValueError, RecursionError):
-                    continue
-                while queue:
-                    value = queue.popleft()
-                    if isinstance(value, list):
-                        queue.extend(value)
-                    elif isinstance(value, dict):
-                        queue.extend(value.values())
-                        if isinstance(value.get("title"), str):
-                            said = lambda *names: next((str(value[n]) for n in names if value.get(n)), "")  # noqa: B023, E731
-                            out.append((page, said("uuid", "id"), value["title"], said("sharable_link", "url"), said("published_at", "datePublished"), said("content", "subtitle")))
-            names = [f.split()[0] for f in FOUND.split(", ")]
-            yield pa.record_batch([pa.array([r[i] for r in out], pa.int64() if i == 0 else pa.string()) for i in range(len(names))], names=names)
-
     states = pages.select("page_id", F.regexp_extract("html", STATE, 1).alias("state")).filter("state <> ''")
-    return states.mapInArrow(walk, FOUND)
+    nodes = walk(states.select("page_id", F.try_parse_json("state").alias("tree")), ["page_id"], "tree", None, budget)
+    said = lambda *names: member("value", *names)
+    found = nodes.filter(is_object("value") & is_text("value", "title"))
+    return found.select("page_id", said("uuid", "id").alias("item"), said("title").alias("title"), said("sharable_link", "url").alias("link"), said("published_at", "datePublished").alias("published"), said("content", "subtitle").alias("content"), F.col("number").cast("long").alias("ordinal"))
 
 
 def listing_items(pages: DataFrame, most: int = 500) -> DataFrame:
@@ -78,11 +55,11 @@ def listing_items(pages: DataFrame, most: int = 500) -> DataFrame:
     own = pages.select("page_id", F.col("url").alias("base"))
     news = ~P.non_news_title(F.col("title")) & ~P.non_news_url(F.col("link"))
     structured = json_ld(pages).join(own, "page_id").withColumn("link", M.absolute_url("link", F.col("base")))
-    structured = structured.filter((F.col("link") != "") & (F.col("title") != "") & news).select("page_id", "link", "title", source_date(F.col("published")).alias("published"), F.lit(0).alias("rank"), F.monotonically_increasing_id().alias("ordinal"))
+    structured = structured.filter((F.col("link") != "") & (F.col("title") != "") & news).select("page_id", "link", "title", source_date(F.col("published")).alias("published"), F.lit(0).alias("rank"), "ordinal")
     state = app_state(pages).filter("link <> '' and published <> ''").join(own, "page_id")
     with_scheme = F.when(F.col("link").rlike("(?i)^https?://"), F.col("link")).otherwise(F.concat(F.lit("https://"), F.regexp_replace("link", "^/+", "")))
     state = state.withColumn("link", M.absolute_url(with_scheme, F.col("base"))).filter((F.col("title") != "") & M.same_site(F.col("link"), F.col("base")) & news)
-    state = state.select("page_id", "link", "title", source_date(F.col("published")).alias("published"), F.lit(1).alias("rank"), F.monotonically_increasing_id().alias("ordinal"))
+    state = state.select("page_id", "link", "title", source_date(F.col("published")).alias("published"), F.lit(1).alias("rank"), "ordinal")
     anchors = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("ordinal", "anchor"))
     links = anchors.select("page_id", "base", M.absolute_url(M.attribute(F.col("anchor"), "href"), F.col("base")).alias("link"), M.decode(F.col("anchor")).alias("title"), F.col("ordinal").cast("long").alias("ordinal"))
     links = links.filter(M.same_site(F.col("link"), F.col("base")) & M.article_like(F.col("link"), F.col("title")))
