@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from presslake.functions import columns as C
 from presslake.functions import policy as P
 from presslake.functions import summaries as S
+from presslake.operators.terms import Dictionaries, Policy, classify, semantic_tags
 from presslake.session import checkpoint, release
 
 # Categories, words, paths and states that results must agree on.
@@ -60,6 +61,29 @@ def reclassified(title: Column, old: Column, new: Column, score: Column, needs_r
     return F.when(~title.rlike(r"[\x{0600}-\x{06FF}]"), "rejected").when(move, "moved").otherwise("kept")
 
 
+def backfilled_tags(df: DataFrame, tags: str, title: Column, body: Column, own: Dictionaries, everything: bool = False, **known: Column) -> DataFrame:
+    """df with ``tags`` found in the texts of stories that have none (BJ-1), or of all stories (BJ-9).
+
+    Stories that have tags don't meet the dictionaries, unless all are asked for. known: as for terms.semantic_tags().
+    """
+    empty = F.lit(True) if everything else F.coalesce(F.size(F.filter(tags, lambda t: F.trim(t) != "")) == 0, F.lit(True))
+    given = f"{tags}_given"
+    rest = df.filter(~empty)
+    found = semantic_tags(df.filter(empty).withColumnRenamed(tags, given), title, body, own, **known)
+    return rest.unionByName(found.select(*(F.col("tags").alias(c) if c == tags else F.col(c) for c in df.columns)))
+
+
+def reclassified_pending(df: DataFrame, category: str, status: Column, at: Column, window: Column, title: Column, body: Column, policies: dict[str, Policy], **known: Column) -> DataFrame:
+    """Stories of the window with ``outcome`` and ``move`` of a second classification, and its ``classification`` (BJ-8, BJ-10): pending ones get its category, those that it isn't sure of go to review.
+
+    Only published and pending stories in the window are read through the rules. known: as for terms.classify().
+    """
+    some = df.filter(P.in_window(at, window) & status.isin("published", "pending", "review"))
+    found = classify(some, title, body, policies, **known)
+    out = audited(F.col(category), F.col("classification.category"), F.col("classification.needs_review"))
+    return found.withColumn("audit_", out).select(*df.columns, "classification", "audit_.outcome", "audit_.move")
+
+
 def import_state(status: Column, source: Column, url: Column, kind: Column, version: Column) -> Column:
     """The state of an old import (BJ-15): archived off its publisher's news path, back to review if it was imported before version 3."""
     paths = F.create_map(*[F.lit(x) for pair in NEWS_PATHS.items() for x in pair])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presslake.functions import columns as C
+from presslake.operators import repairs
 from presslake.operators import terms as T
-from presslake.plans.catalog import query
+from presslake.plans.catalog import ORACLE_SQL, query
 from presslake.session import read
 
 #: Dictionaries for the corpus's invented prose: endings and syllables as signals, common words as places.
@@ -76,3 +77,33 @@ def classified_articles(spark, sf_dir):
     c = F.col("classification")
     alternatives = F.array_join(F.transform(c["alternatives"], lambda x: F.concat(x["category"], F.lit(":"), x["score"].cast("string"))), "|")
     return found.select("doc_id", c["category"].alias("category"), c["score"].alias("score"), c["margin"].alias("margin"), c["needs_review"].alias("needs_review"), c["confidence"].alias("confidence"), F.array_join(c["reasons"], "|").alias("reasons"), alternatives.alias("alternatives"))
+
+
+@query(
+    "backfilled_tags",
+    rf"""WITH s AS ({ORACLE_SQL["semantic_tags"]}), h AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '#([\p{{L}}\p{{N}}_]+)', 1))) AS own FROM documents)
+        SELECT doc_id, CASE WHEN len(own) > 0 THEN array_to_string(own, '|') ELSE tags END AS tags FROM h JOIN s USING (doc_id)""",
+)
+def backfilled_tags(spark, sf_dir):
+    """BJ-1: documents keep the hashtags of their texts; those without any get semantic tags."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").withColumn("own", F.array_sort(C.hashtags(text)))
+    language = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[F.coalesce("lang", F.lit(""))]
+    found = repairs.backfilled_tags(docs, "own", F.regexp_extract(text, "^[^.]*", 0), text, DICTIONARIES, category=language, source=F.col("source"))
+    return found.select("doc_id", F.array_join("own", "|").alias("tags"))
+
+
+@query(
+    "reclassified_documents",
+    rf"""WITH c AS ({ORACLE_SQL["classified_articles"]}), d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE 'Legal' END AS old FROM documents),
+        o AS (SELECT old, category, CASE WHEN needs_review THEN 'sent_to_review' WHEN category = old THEN 'unchanged' ELSE 'reassigned' END AS outcome FROM c JOIN d USING (doc_id))
+        SELECT outcome, CASE WHEN outcome = 'reassigned' THEN old || ' -> ' || category END AS move, count(*) AS n FROM o GROUP BY ALL""",
+)
+def reclassified_documents(spark, sf_dir):
+    """BJ-8, BJ-10, AG-16: documents filed by their language, and where the rules would file them."""
+    text = F.coalesce("text", F.lit(""))
+    old = F.create_map(*(F.lit(x) for pair in {"en": "English", "de": "German", "fr": "French"}.items() for x in pair))[F.coalesce("lang", F.lit(""))]
+    docs = read(spark, sf_dir, "documents").withColumn("filed", F.coalesce(old, F.lit("Legal")))
+    always = F.struct(F.lit("2000-01-01").cast("timestamp").alias("start"), F.lit("2100-01-01").cast("timestamp").alias("end"))
+    found = repairs.reclassified_pending(docs, "filed", F.lit("published"), F.lit("2024-01-01").cast("timestamp"), always, F.regexp_extract(text, "^[^.]*", 0), text, POLICIES)
+    return found.groupBy("outcome", "move").agg(F.count("*").alias("n"))

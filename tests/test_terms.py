@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presslake.functions import compat
+from presslake.operators import repairs
 from presslake.operators import terms as T
 
 TOPICS = {
@@ -114,3 +115,20 @@ def test_compatibility_forms_fold_to_their_letters(spark):
     found = spark.createDataFrame(rows, "a string, b string").select(compat.normalized(F.col("a")).alias("x"), F.col("b"), compat.normalized_title(F.col("a")).alias("t")).collect()
     assert [r.x for r in found] == [r.b for r in found]
     assert [r.t for r in found] == ["الله لا الذهب", "fine 12", "أهلا", None]
+
+
+def test_only_stories_without_tags_are_read_unless_all_are_asked_for(spark):
+    rows = [(1, ["kept"], STORIES[0][0]), (2, [], STORIES[0][0]), (3, None, STORIES[0][0]), (4, [" "], "nothing")]
+    df = spark.createDataFrame(rows, "id int, own array<string>, title string")
+    one = {r.id: r.own for r in repairs.backfilled_tags(df, "own", F.col("title"), F.lit(""), T.Dictionaries(TOPICS)).collect()}
+    assert one == {1: ["kept"], 2: ["الاقتصاد والأسواق"], 3: ["الاقتصاد والأسواق"], 4: []}
+    every = {r.id: r.own for r in repairs.backfilled_tags(df, "own", F.col("title"), F.lit(""), T.Dictionaries(TOPICS), everything=True).collect()}
+    assert every == one | {1: ["الاقتصاد والأسواق"]}
+
+
+def test_a_second_classification_moves_or_asks_for_review(spark):
+    rows = [(i, t, b, "السياسة", "published", f"2024-01-0{1 + i}") for i, (t, b) in enumerate(STORIES)] + [(9, *STORIES[0], "السياسة", "draft", "2024-01-02"), (10, *STORIES[0], "السياسة", "published", "2023-01-01")]
+    df = spark.createDataFrame(rows, "id int, title string, body string, filed string, status string, day string")
+    window = F.struct(F.lit("2024-01-01").cast("timestamp").alias("start"), F.lit("2024-02-01").cast("timestamp").alias("end"))
+    found = repairs.reclassified_pending(df, "filed", F.col("status"), F.col("day").cast("timestamp"), window, F.col("title"), F.col("body"), POLICIES)
+    assert {r.id: (r.outcome, r.move) for r in found.collect()} == {0: ("reassigned", "السياسة -> الاقتصاد"), 1: ("unchanged", None), 2: ("reassigned", "السياسة -> المجتمع"), 3: ("reassigned", "السياسة -> السيارات"), 4: ("sent_to_review", None)}
