@@ -25,6 +25,11 @@ def normalized(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")))
 
 
+def plain_title(text: Column) -> Column:
+    """A title without marks, all but letters and digits a space, in lower case; letters aren't folded (TX-2 without compatibility forms)."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, ARABIC_MARKS, ""), r"[^\p{L}\p{N}]+", " ")))
+
+
 def tokens(text: Column) -> Column:
     """Distinct words of normalized text, in order of their first place; no empty one."""
     return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))

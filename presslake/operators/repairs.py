@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from presslake.functions import columns as C
 from presslake.functions import policy as P
 from presslake.functions import summaries as S
 from presslake.operators.terms import Dictionaries, Policy, classify, semantic_tags
-from presslake.session import checkpoint, release
+from presslake.session import checkpoint, release, ship
 
 # Categories, words, paths and states that results must agree on.
 POLITICS = "السياسة"
@@ -117,35 +118,106 @@ def search(df: DataFrame, needle: str, columns: list[str], category: Column | No
     return df.filter(found if category is None else found & category)
 
 
-def first_seen(df: DataFrame, key: str, order: list[str], title: str, event: str) -> DataFrame:
+def first_seen(df: DataFrame, key: str, order: list[str], title: str, event: str, block_rows: int = 500_000) -> DataFrame:
     """(key, original): original is null for a story that stays, else the earlier one that stays and has its title, or else its event (BJ-4).
 
-    A story goes only for one that stays itself. Each round keeps what is first among the open rows of its title and of
-    its event, then drops what agrees with an earlier kept row; the last rounds hold only rows that hang on one another.
-    Two grouped minimums and two joins a round, lineage cut in the shared folder; originals are looked up at the end.
-    Empty titles and events agree with nothing; keys must be different.
+    A story goes only for one that stays itself, however long the chain. The rows are range-sorted into blocks, and a task
+    decides a block in order, knowing the titles and events of what stays in the blocks before it, at first of none; all
+    blocks are decided at once, and again until nothing changes. Rounds grow with the blocks that a chain runs through,
+    at most their number, not with its length; a task holds a block's titles. Empty titles and events agree with nothing;
+    keys must be different.
     """
+    ship(df.sparkSession)
     at = F.struct(*[F.col(c) for c in order], F.col(key))
     said = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     slim = checkpoint(df.select(F.col(key).alias("k"), at.alias("at"), said(title).alias("t"), said(event).alias("e")))
-
-    def matched(rows: DataFrame, kept: DataFrame) -> DataFrame:
-        by = lambda c: kept.filter(F.col(c).isNotNull()).select(c, F.col("k").alias(f"of_{c}"), F.col("at").alias(f"at_{c}"))
-        original = F.coalesce(F.when(F.col("at_t") < F.col("at"), F.col("of_t")), F.when(F.col("at_e") < F.col("at"), F.col("of_e")))
-        return rows.join(by("t"), "t", "left").join(by("e"), "e", "left").select("k", "at", "t", "e", original.alias("original"))
-
-    rest, rounds = slim, []
-    while not rest.isEmpty():
-        lead = lambda c: rest.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("at").alias(f"first_{c}"))  # noqa: B023, E731
-        marked = rest.join(lead("t"), "t", "left").join(lead("e"), "e", "left")
-        stays = F.coalesce(F.col("at") == F.col("first_t"), F.lit(True)) & F.coalesce(F.col("at") == F.col("first_e"), F.lit(True))
-        kept = checkpoint(marked.filter(stays).select("k", "at", "t", "e"))
-        rounds.append(kept)
-        before, rest = rest, checkpoint(matched(rest.join(kept.select("k"), "k", "left_anti"), kept).filter("original is null").drop("original"))
-        if before is not slim:
-            release(before)
-    kept = reduce(DataFrame.unionByName, rounds, slim.limit(0))
-    return matched(slim, kept).select(F.col("k").alias(key), "original")
+    blocks = max(1, -(-slim.count() // block_rows))
+    # numbers in the order of ``at``; a block is what shares their upper part
+    rows = checkpoint(slim.repartitionByRange(blocks, "at").sortWithinPartitions("at").withColumn("n", F.monotonically_increasing_id()).drop("at"))
+    block = lambda c: F.shiftright(c, 33)
+    names = ["k", "t", "e", "n"]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, titles, events = None, set(), set()
+        for batch in batches:
+            stays = []
+            for i, (t, e, n, barred) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "e", "n", "barred")))):
+                if n >> 33 != current:
+                    current, titles, events = n >> 33, set(), set()
+                if barred or t in titles or e in events:
+                    continue
+                stays.append(i)
+                titles |= {t} - {None}
+                events |= {e} - {None}
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(stays, pa.int64())) for c in names], names=names)
+
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, t string, e string, n long"
+    kept, before = None, None
+    while True:
+        barred = rows.withColumn("barred", F.lit(False))
+        if kept is not None:
+            first = lambda c: kept.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("n").alias(f"first_{c}"))  # noqa: B023, E731
+            earlier = lambda c: F.coalesce(block(f"first_{c}") < block("n"), F.lit(False))
+            barred = rows.join(first("t"), "t", "left").join(first("e"), "e", "left").withColumn("barred", earlier("t") | earlier("e"))
+        dealt = barred.select(*names, "barred").repartition(blocks, block("n")).sortWithinPartitions("n")
+        old, kept = kept, checkpoint(dealt.mapInArrow(decide, schema))
+        if old is not None:
+            release(old)
+        now = kept.agg(F.count("*"), F.sum(F.xxhash64("n") % (1 << 31))).first()
+        if blocks == 1 or now == before:
+            break
+        before = now
+    by = lambda c: kept.filter(F.col(c).isNotNull()).select(c, F.col("k").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"))
+    original = F.coalesce(F.when(F.col("n_t") < F.col("n"), F.col("of_t")), F.when(F.col("n_e") < F.col("n"), F.col("of_e")))
+    stays = kept.select(F.col("n").alias("n_stays"))
+    found = rows.join(by("t"), "t", "left").join(by("e"), "e", "left").join(stays, F.col("n") == F.col("n_stays"), "left")
+    return found.select(F.col("k").alias(key), F.when(F.col("n_stays").isNull(), original).alias("original"))
+
+
+def own_paragraphs(content: Column, summary: Column, least: int = 35) -> Column:
+    """Paragraphs of more than ``least`` characters that aren't like the summary or an earlier paragraph: more than 0.82 of the larger one's words shared."""
+    words = lambda text: F.array_distinct(F.split(C.plain_title(text), " "))
+    near = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > 0.82
+    plain = F.transform(content, lambda p: F.struct(p.alias("text"), words(p).alias("words")))
+    about = words(F.coalesce(summary, F.lit("")))
+    stays = lambda p, i: (F.length(p["text"]) > least) & ~near(p["words"], about) & ~F.exists(F.slice(plain, F.lit(1), i), lambda q: near(q["words"], p["words"]))
+    return F.transform(F.filter(plain, stays), lambda p: p["text"])
+
+
+def repair_pass(df: DataFrame, window_start: Column, fallback: str = "/api/media/fallback/", block_rows: int = 500_000) -> DataFrame:
+    """Stored stories after the ordered repair pass, with ``repairs``, what was done to each, and ``original`` of duplicates (BJ-4).
+
+    Columns: id, title, summary, url, published, content (array), normalized_title, event, category, thumbnail, lifecycle, status,
+    validity. Repeated paragraphs go; an incomplete story goes to review and takes no further part; a duplicate, by title or
+    else event, of an earlier one that stays is rejected; of those that stay the lifecycle follows the window, and a
+    missing picture becomes the category's.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    content = F.coalesce("content", F.array().cast("array<string>"))
+    incomplete = (text("title") == "") | (F.length(text("summary")) < 35) | ~C.safe_external(text("url")) | F.col("published").isNull()
+    agreed = F.when(text("normalized_title") == "", C.plain_title(F.col("title"))).otherwise(F.col("normalized_title"))
+    rows = df.withColumns({"cleaned_": own_paragraphs(content, F.col("summary")), "incomplete_": incomplete, "agreed_": agreed})
+    sound = rows.filter(~F.col("incomplete_")).select("id", "published", "agreed_", "event")
+    seen = first_seen(sound, "id", ["published"], "agreed_", "event", block_rows)
+    both = rows.join(seen, "id", "left")
+    duplicate = F.col("original").isNotNull()
+    stays = ~F.col("incomplete_") & ~duplicate
+    state = F.when(F.col("published") >= window_start, "current").otherwise("archived")
+    done = C.failing(
+        repeated_content=F.size("cleaned_") != F.size(content),
+        incomplete_or_invalid=F.col("incomplete_"),
+        duplicate_or_near_duplicate=duplicate,
+        incorrect_age=stays & ~state.eqNullSafe(F.col("lifecycle")),
+        missing_image=stays & (text("thumbnail") == ""),
+    )
+    new = {
+        "content": F.col("cleaned_"),
+        "status": F.when(F.col("incomplete_"), "review").when(duplicate, "rejected").otherwise(F.col("status")),
+        "validity": F.when(F.col("incomplete_"), "invalid").when(duplicate, "duplicate").otherwise(F.col("validity")),
+        "lifecycle": F.when(stays, state).otherwise(F.col("lifecycle")),
+        "thumbnail": F.when(stays & (text("thumbnail") == ""), F.concat(F.lit(fallback), F.url_encode(text("category")))).otherwise(F.col("thumbnail")),
+    }
+    return both.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns), done.alias("repairs"), "original")
 
 
 def articles(df: DataFrame, now: Column) -> DataFrame:

@@ -122,3 +122,28 @@ def editor_queue(spark, sf_dir):
     """CQ-6: the newest 80 of a state; the limit is the listing's."""
     rows = read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
     return rows.limit(80).select("o_orderkey", "o_orderdate")
+
+
+@query(
+    "repair_pass",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, trim(lower(regexp_replace(substr(regexp_extract(coalesce(text, ''), '^[^.\n]*'), 1, 40), '[^\p{L}\p{N}]+', ' ', 'g'))) AS t, lang || ':' || n_chars AS e, length(substr(coalesce(text, ''), 1, 200)) AS size, regexp_extract(coalesce(text, ''), '^[^.\n]*') AS title FROM documents),
+        s AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM d WHERE substr(title, 1, 40) <> '' AND size >= 35),
+        w AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS doc_id, CAST([] AS STRUCT(t VARCHAR, e VARCHAR, k BIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS original
+              UNION ALL
+              SELECT n, doc_id, CASE WHEN original IS NULL THEN list_append(kept, {'t': t, 'e': e, 'k': doc_id}) ELSE kept END, original FROM (
+                SELECT s.n, s.doc_id, s.t, s.e, w.kept, coalesce(list_filter(w.kept, lambda x: x.t <> '' AND x.t = s.t)[1].k, list_filter(w.kept, lambda x: x.e = s.e)[1].k) AS original FROM w JOIN s ON s.n = w.n + 1))
+        SELECT d.doc_id AS id, CASE WHEN s.doc_id IS NULL THEN 'review' WHEN w.original IS NOT NULL THEN 'rejected' ELSE 'published' END AS status,
+               CASE WHEN s.doc_id IS NULL OR w.original IS NOT NULL THEN 'current' WHEN d.doc_id < 100 THEN 'archived' ELSE 'current' END AS lifecycle, w.original AS original FROM d LEFT JOIN s USING (doc_id) LEFT JOIN w ON w.doc_id = d.doc_id""",
+)
+def repair_pass(spark, sf_dir):
+    """BJ-4: documents as stored stories in the order of their ids; their first words are the title, their language and length the event."""
+    docs = read(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 3600)
+    none = F.lit(None).cast("string")
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.substring(F.regexp_extract(text, r"^[^.\n]*", 0), 1, 40).alias("title"), F.substring(text, 1, 200).alias("summary"), F.concat(F.lit("https://a.org/"), F.col("doc_id").cast("string")).alias("url"), day.alias("published"),
+        F.array().cast("array<string>").alias("content"), none.alias("normalized_title"), F.concat("lang", F.lit(":"), F.col("n_chars").cast("string")).alias("event"), F.col("source").alias("category"), F.lit("/t").alias("thumbnail"), F.lit("current").alias("lifecycle"), F.lit("published").alias("status"), F.lit("valid").alias("validity"),
+    )
+    found = R.repair_pass(rows, F.timestamp_seconds(F.lit(1_704_067_200 + 100 * 3600)))
+    return found.select("id", "status", "lifecycle", "original")

@@ -27,6 +27,61 @@ def test_first_seen_is_the_ordered_pass(spark):
     assert {r.id: r.original for r in R.first_seen(df, "id", ["at"], "title", "event").collect()} == want
 
 
+def chain(n):
+    """Row i shares its title with the one before it and its event with the one after: every other row stays."""
+    return [(i, i, f"t{i // 2}", f"e{(i + 1) // 2}") for i in range(n)]
+
+
+def test_a_chain_of_any_length_is_decided_in_few_rounds(spark):
+    spark.sparkContext.setJobGroup("chain", "chain")
+    rows = spark.range(100_000).selectExpr("id", "id AS at", "concat('t', id div 2) AS title", "concat('e', (id + 1) div 2) AS event")
+    found = R.first_seen(rows, "id", ["at"], "title", "event")
+    assert found.filter("(original IS NULL) <> (id % 2 = 0) OR original <> id - 1").count() == 0
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 20
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_blocks_are_decided_until_nothing_changes(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = chain(120) + [(200 + i, rng.randrange(120), f"t{rng.randrange(80)}" if i % 7 else "", f"e{rng.randrange(80)}" if i % 5 else None) for i in range(200)]
+    titles, events, want = {}, {}, {}
+    for i, _, t, e in sorted(rows, key=lambda r: (r[1], r[0])):
+        hits = [seen[c] for seen, c in ((titles, t), (events, e)) if c and c in seen]
+        want[i] = hits[0] if hits else None
+        if not hits:
+            titles |= {t: i} if t else {}
+            events |= {e: i} if e else {}
+    df = spark.createDataFrame(rows, "id int, at int, title string, event string")
+    for size in (10, 64, 1000):
+        assert {r.id: r.original for r in R.first_seen(df, "id", ["at"], "title", "event", size).collect()} == want
+
+
+def test_the_repair_pass(spark):
+    from datetime import datetime
+
+    day = lambda d: datetime(2024, 1, d)
+    long, other = "A summary of the story that has enough characters", "Another paragraph of the story, with words of its own, long enough"
+    row = lambda i, title, summary, url, at, content=(), event="", thumb="/t", life="current": (i, title, summary, url, at, list(content), "", event, "sport news", thumb, life, "published", "valid")
+    rows = [
+        row(1, "First", long, "https://a.org/1", day(20), [other, other + "!", "short", long + " too"]),
+        row(2, "first!", long, "https://a.org/2", day(21)),
+        row(3, "No summary", "", "https://a.org/3", day(19)),
+        row(4, "Local", long, "http://localhost/4", day(19)),
+        row(5, "Undated", long, "https://a.org/5", None),
+        row(6, "Old", long, "https://a.org/6", day(2), thumb=""),
+        row(7, "Other title", long, "https://a.org/7", day(22), event="x"),
+        row(8, "Third title", long, "https://a.org/8", day(23), event="x"),
+        row(9, "No summary", long, "https://a.org/9", day(24)),
+    ]
+    schema = "id int, title string, summary string, url string, published timestamp, content array<string>, normalized_title string, event string, category string, thumbnail string, lifecycle string, status string, validity string"
+    found = {r.id: r for r in R.repair_pass(spark.createDataFrame(rows, schema), F.lit("2024-01-15").cast("timestamp")).collect()}
+    assert {i: (r.status, r.validity, r.original) for i, r in found.items()} == {1: ("published", "valid", None), 2: ("rejected", "duplicate", 1), 3: ("review", "invalid", None), 4: ("review", "invalid", None), 5: ("review", "invalid", None), 6: ("published", "valid", None), 7: ("published", "valid", None), 8: ("rejected", "duplicate", 7), 9: ("published", "valid", None)}
+    assert found[1].content == [other] and list(found[1].repairs) == ["repeated_content"]
+    assert (found[6].lifecycle, found[6].thumbnail) == ("archived", "/api/media/fallback/sport+news") and list(found[6].repairs) == ["incorrect_age", "missing_image"]
+
+
 def test_first_seen_of_nothing(spark):
     df = spark.createDataFrame([], "id long, at long, title string, event string")
     assert R.first_seen(df, "id", ["at"], "title", "event").collect() == []
