@@ -38,7 +38,7 @@ def by_hand(history):
     return {s: (h, v) for s, (h, _, v) in known.items()}
 
 
-@pytest.mark.parametrize("size", [1, 3, len(HISTORY)])
+@pytest.mark.parametrize("size", [3, len(HISTORY)])
 def test_batches_of_any_size_and_replays_give_one_table(spark, tmp_path, size):
     table = upserts.Table(spark, str(tmp_path / "t"), "story", upserts.ARTICLE, 4)
     for n, k in enumerate(range(0, len(HISTORY), size)):
