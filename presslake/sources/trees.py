@@ -17,7 +17,8 @@ def walk(df: DataFrame, keys: list[str], tree: str, follow: list[str] | None = N
     """keys, depth, path (places from the root), name (of a member), value and number (from 1) of a tree's nodes, nearest first; the first ``budget`` of a tree.
 
     ``follow``: the only members to go into, besides all elements of arrays. Trees are told apart by ``keys``; a null
-    tree has no nodes. A recursive query: a step per level over all trees at once, no tree on one task.
+    tree has no nodes. A recursive query: a step per level over all trees at once, no tree on one task. The session's limit
+    on the rows of such queries is lifted.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
