@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def tiered_duplicates(exact: DataFrame, near: DataFrame, key: str) -> DataFrame:
     """(key, tier, original) of ``exact`` (key, tier, original), then of ``near`` (key, original, score) for keys without an exact one (STR-4)."""
     rest = near.join(exact.select(key), key, "left_anti").select(key, F.lit("title").alias("tier"), "original")
