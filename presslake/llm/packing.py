@@ -204,11 +204,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             done.append(_placed(swept.filter("is_piece and missed is null"), F.col("other_key")))
             left = swept.filter("missed is not null")
             after = F.col("size") - F.coalesce("other_size", F.lit(0))
-            gaps = swept.filter(~F.col("is_piece")).withColumn("size", after)
-            gaps = (_gaps(gaps.groupBy("key").agg(F.sum("size").alias("size"))) if each > 1 else gaps).select(*ROW)
+            own, taken = swept.filter(~F.col("is_piece")), F.col("other_size").isNotNull()
+            if each > 1:
+                gaps, again = _gaps(own.withColumn("size", after).groupBy("key").agg(F.sum("size").alias("size"))), F.col("slot") == 0
+            else:
+                # a piece that missed is longer than any gap that nothing took: those can't serve this class
+                idle.append(own.filter(~taken).select(*ROW))
+                gaps, again = own.filter(taken).withColumn("size", after).select(*ROW), taken & (after > low)
             idle.append(gaps.filter(within(0, low)))
             gaps = gaps.filter(F.col("size") > low)
-            rest, n_gaps = swept.agg(F.count("missed"), F.count_if(~F.col("is_piece") & ((after > low) | (F.lit(each) > 1)) & (F.col("slot") == 0))).first()
+            rest, n_gaps = swept.agg(F.count("missed"), F.count_if(~F.col("is_piece") & again)).first()
             if not rest or not n_gaps or rest == wanted:
                 break
             left, wanted = left.select(*ROW), rest
