@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslake.functions import columns as C
@@ -208,7 +208,11 @@ def trend_score(spark, sf_dir):
 def engagement(spark, sf_dir):
     kind = F.col("event_type")
     weight = F.when(kind == "purchase", 2.0).when(kind == "click", 0.5).when(kind == "signup", 1.0).when(kind == "view", 0.05).otherwise(0.0)
-    return events(spark, sf_dir).groupBy("user_id").agg(C.half_up(F.sum(weight)).alias("engagement"))
+    # 0.05 is no binary fraction: where a user's sum ends in a half, the order of the additions says how it is rounded. They
+    # go by event, so that no partitioning changes them; weights aren't negative, so that the last running sum is the largest
+    so_far = F.sum("weight").over(Window.partitionBy("user_id").orderBy("event_id", "weight").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    weighed = events(spark, sf_dir).select("user_id", "event_id", weight.alias("weight"))
+    return weighed.select("user_id", so_far.alias("total")).groupBy("user_id").agg(C.half_up(F.max("total")).alias("engagement"))
 
 
 @query(

@@ -1,11 +1,14 @@
 """Operators that no query reaches: feeds, streams and edge cases."""
 
+import functools
+import math
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from presslake.functions import columns as C
 from presslake.operators import relations as R
+from presslake.plans.queries import engagement
 from presslake.sources import feeds, pages, sinks
 from presslake.streaming import flows
 
@@ -85,3 +88,13 @@ def test_domains_urls_and_arrays(spark):
     ).first()
     assert (row.sub, row.tail, row.none, row.private, row.safe, row.null) == (True, False, False, False, True, False)
     assert row.json == ["a, b", "c"] and row.parts == ["[a", "b"] and len(row.key) == 64
+
+
+def test_engagement_adds_in_the_order_of_events(spark, tmp_path):
+    weights = {"view": 0.05, "click": 0.5, "signup": 1.0, "purchase": 2.0, None: 0.0}
+    kinds = {user: [["view"] * (10 + 20 * (user % 40)), ["click", "view", "signup", "view", "purchase", None] * user][user % 2] for user in range(120)}
+    rows = [(i, user, kind) for i, (user, kind) in enumerate((u, k) for u, own in kinds.items() for k in own)]
+    want = {user: math.floor(functools.reduce(lambda total, kind: total + weights[kind], own, 0.0) + 0.5) for user, own in kinds.items() if own}
+    # a user's events lie in several files, in no order
+    spark.createDataFrame(sorted(rows, key=lambda r: r[0] * 7919 % 1009), "event_id long, user_id long, event_type string").repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.user_id: r.engagement for r in engagement(spark, str(tmp_path)).collect()} == want
