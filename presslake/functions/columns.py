@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,16 +43,27 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / larger)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: what a lambda refers to from outside is otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def shingles(words: Column, k: int = 2) -> Column:
     """Distinct runs of k words of two letters or more; a shorter text is one shingle (TX-6)."""
     long = F.filter(words, lambda w: F.length(w) > 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(long) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(long, i, k), " "))
-    return F.filter(F.array_distinct(runs), lambda s: s != "")
+    runs = lambda held: F.transform(F.sequence(F.lit(1), F.greatest(F.size(held) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(held, i, k), " "))
+    return F.filter(F.array_distinct(once(long, runs)), lambda s: s != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Intersection over union; 1 for two empty sets, 0 for one (TX-7)."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+    def near(both: Column) -> Column:
+        one, other = both["a"], both["b"]
+        share = F.size(F.array_intersect(one, other)) / F.size(F.array_union(one, other))
+        return F.when((F.size(one) == 0) & (F.size(other) == 0), F.lit(1.0)).when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0)).otherwise(share)
+
+    return once(F.struct(a.alias("a"), b.alias("b")), near)
 
 
 def hashtags(text: Column) -> Column:

@@ -80,7 +80,7 @@ def summarize(df: DataFrame, title: Column, sentences: Column) -> DataFrame:
 def shingle_duplicate(a: Column, b: Column, least: float = 0.7) -> Column:
     """struct<duplicate, similarity>: by Jaccard of word pairs, which is rounded only for show (TX-8)."""
     near = C.jaccard(C.shingles(F.split(C.normalized(a), " ")), C.shingles(F.split(C.normalized(b), " ")))
-    return F.struct((near >= least).alias("duplicate"), C.half_up(near, 2).alias("similarity"))
+    return C.once(near, lambda n: F.struct((n >= least).alias("duplicate"), C.half_up(n, 2).alias("similarity")))
 
 
 def editorial_clean(text: Column) -> Column:

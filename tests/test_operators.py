@@ -2,11 +2,13 @@
 
 import functools
 import math
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from presslake.functions import columns as C
+from presslake.functions import summaries as S
 from presslake.operators import relations as R
 from presslake.plans.queries import engagement
 from presslake.sources import feeds, pages, sinks
@@ -98,3 +100,12 @@ def test_engagement_adds_in_the_order_of_events(spark, tmp_path):
     # a user's events lie in several files, in no order
     spark.createDataFrame(sorted(rows, key=lambda r: r[0] * 7919 % 1009), "event_id long, user_id long, event_type string").repartition(7).write.parquet(str(tmp_path / "events.parquet"))
     assert {r.user_id: r.engagement for r in engagement(spark, str(tmp_path)).collect()} == want
+
+
+def test_repeats_of_long_turns_take_time_by_their_length(spark):
+    words = [f"w{i}x{i % 7}" for i in range(12_000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[3_000:])), ("", ""), (None, "aa bb")], "a string, b string")
+    began = time.monotonic()
+    rows = [r.d for r in df.select(S.shingle_duplicate(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert time.monotonic() - began < 20
+    assert (rows[0].duplicate, rows[0].similarity) == (True, 0.75) and (rows[1].duplicate, rows[1].similarity) == (True, 1.0)
