@@ -8,8 +8,9 @@ whatever order and partitions they come. Nothing here recurses, so that any dept
 
 Wrappers are inferred in each task from its own pages; the tasks' wrappers are then aligned with each
 other, some of a host's at a time and then those, so that a host of any size sends wrappers and never
-its pages, and a task holds one wrapper of a host. ITEMS bounds a wrapper's memory: a host whose pages
-have more kinds of elements than that loses the rarest, which are then read as slots.
+its pages, and a task holds one wrapper of a host. A wrapper keeps every kind of element of its host's
+pages, however rare: its memory grows with their number. Large wrappers are sent ahead of their host's
+pages, once for every PAGES of them.
 
 Every page is then read through its host's wrapper. The article is found by descent from the root, into
 the child whose slots, texts that differ between the host's pages, hold most of the words in all pages
@@ -47,12 +48,12 @@ from presslake.session import checkpoint, read
 
 #: Titles of the pages that share a text before it can be the template's.
 TITLES = 3
-#: Items of a wrapper, items of all wrappers of a task before it hands them on, and parts in which a host's wrappers are aligned first.
+#: Items of a wrapper that ``pruned`` shows, items of all wrappers of a task before it hands them on, and parts in which a host's wrappers are aligned first.
 ITEMS, HELD, PARTS = 200_000, 100_000, 64
 #: Share of the words that one child must hold for the descent to go on.
 MOST = 0.6
-#: Bytes of all wrappers up to which they are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of all wrappers up to which they are broadcast; beyond it they meet their hosts' pages by a shuffle, about so many pages at a time.
+BROADCAST_BYTES, PAGES = 8 << 20, 4096
 
 #: Elements (fixed values).
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head title".split())
@@ -265,7 +266,7 @@ def ordered(kids: list[Item]) -> list[Item]:
 
 
 def pruned(wrapper: Item) -> Item:
-    """The wrapper with ITEMS items at most, a bound on memory that no template reaches: the rarest go, by their path where counts are equal."""
+    """The wrapper's ITEMS commonest items, by their path where counts are equal: a view of it for people. Pages are read through whole wrappers."""
     items, of = [], {id(wrapper): wrapper.n}
     for own in walk(wrapper):
         items.append(own)
@@ -442,7 +443,6 @@ def infer(pages: DataFrame) -> DataFrame:
                 hosts[host].n += 1
                 align(hosts[host], marked_page(parse(page)))
             for host in {*batch.column("host").to_pylist()} & hosts.keys():
-                hosts[host] = pruned(hosts[host])
                 size[host] = sum(1 for _ in walk(hosts[host]))
             if sum(size.values()) > HELD:
                 yield rows(hosts)
@@ -458,7 +458,6 @@ def infer(pages: DataFrame) -> DataFrame:
                 if name == host:
                     own.n += new.n
                     align(own, new)
-                    own = pruned(own)
                 else:
                     if own is not None:
                         yield rows({host: own})
@@ -479,29 +478,47 @@ def infer(pages: DataFrame) -> DataFrame:
     return some.mapInArrow(in_parts, schema).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(together, schema)
 
 
+def _ahead(hosted: DataFrame, plans: DataFrame) -> DataFrame:
+    """The pages and, before every PAGES or so of a host's, a row with its wrapper and no page."""
+    shares = hosted.groupBy("host").agg(F.ceil(F.count("*") / F.lit(PAGES)).cast("int").alias("shares"))
+    salted = hosted.join(shares, "host").withColumn("share", F.pmod(F.xxhash64("page_id", "url"), "shares").cast("int"))
+    none = F.lit(None).cast("string")
+    own = salted.select("host", "share", "page_id", "url", "html", none.alias("wrapper"), F.lit(True).alias("is_page"))
+    each = plans.join(shares, "host").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    first = each.select("host", "share", F.lit(None).cast("long").alias("page_id"), none.alias("url"), none.alias("html"), "wrapper", F.lit(False).alias("is_page"))
+    return own.unionByName(first).repartition("host", "share").sortWithinPartitions("host", "share", "is_page")
+
+
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page, read through its host's wrapper. pages: (page_id, url, html)."""
     hosted = with_host(pages)
     plans = checkpoint(infer(hosted)) if wrappers is None else wrappers
     size = plans.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    read_by = hosted.join(F.broadcast(plans) if size <= BROADCAST_BYTES else plans, "host", "left")
+    if size <= BROADCAST_BYTES:
+        read_by = hosted.join(F.broadcast(plans), "host", "left").withColumn("is_page", F.lit(True))
+    else:
+        read_by = _ahead(hosted, plans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Reader] = {}
+        last, reader = None, None  # of a wrapper that was sent ahead
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
-                if not page or not wrapper:
-                    texts.append("")
+            for host, page, wrapper, is_page in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "is_page"))):
+                if not is_page:
+                    if host != last:
+                        last, reader = host, Reader(restored(wrapper))
                     continue
-                if wrapper not in known:
+                if wrapper and page and wrapper not in known:
                     if len(known) > 256:
                         known.clear()
                     known[wrapper] = Reader(restored(wrapper))
-                texts.append(known[wrapper].text(parse(page)))
-            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                own = known.get(wrapper) if wrapper else reader if host == last else None
+                texts.append(own.text(parse(page)) if page and own else "")
+            own = batch.filter(batch.column("is_page"))
+            yield pa.record_batch([own.column("page_id"), own.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return read_by.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return read_by.select("host", "page_id", "url", "html", "wrapper", "is_page").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

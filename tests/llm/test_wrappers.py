@@ -166,6 +166,22 @@ def test_wrappers_of_many_tasks_are_one(spark, monkeypatch):
     assert sum(1 for _ in wrappers.walk(root)) == 4
 
 
+def test_no_kind_of_element_is_dropped_however_many(spark):
+    name = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))  # digits don't tell classes apart
+    page = "<title>T{i}</title><div class=lay><p>Day {i}</p><div class=own{own}>{words}</div></div>"
+    rows = [(i, f"http://many.org/{i}", page.format(i=i, own=name(i), words="".join(f"<p class=x{name(i * 12_000 + k)}>word</p>" for k in range(12_000)))) for i in range(20)]
+    assert texts(spark, rows) == dict.fromkeys(range(20), "\n".join(["word"] * 12_000))
+
+
+def test_wrappers_sent_ahead_of_their_pages_read_the_same(spark, monkeypatch):
+    rows = unmarked(40) + [(100 + i, f"http://v{i % 3}.org/{i}", UNMARKED.format(i=i, words=f"one{i} two{i} three{i}")) for i in range(30)]
+    rows += [(200, None, None), (201, "http://none.org/", ""), (202, "no url", "<p>x</p>"), (None, "http://u.org/n", UNMARKED.format(i=0, words="a b c"))]
+    want = texts(spark, rows)
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(wrappers, "PAGES", 7)
+    assert texts(spark, rows) == want and len(want) == 74
+
+
 def test_empty_table(spark):
     assert wrappers.extract(pages(spark, [])).count() == 0
 
