@@ -14,7 +14,7 @@ itself be long: such rows are kept for the live generation only, and each turn c
 word's minimum rank that don't overlap, from the left, up to the first whose contraction lets a lower
 rank in, so that the result is that of one pair at a time.
 Ordered aggregation over the token rows then gives each word's ids and, joined with the vocabulary's
-bytes, the decoded word. A text's ids are its words' ids in order; so are its decoded bytes.
+bytes, the decoded word; a word that is a token needs neither. A text's ids are its words' ids in order; so are its decoded bytes.
 
 The engine holds ENGINE_MEMORY and spills nothing: what it takes at a time is bounded by ROWS and LONG_BYTES.
 
@@ -182,8 +182,9 @@ class Codec:
         whole, short, long = [], [], []
         for i, b in enumerate(raw):
             (whole if b in self.whole else short if len(b) <= LONG else long).append(i)
-        for part in parts(whole, lambda i: 1, ROUND, ROUND):  # a word that is a token is that token
-            self._keep([new[i] for i in part], [[self.whole[raw[i]]] for i in part])
+        for i in whole:  # a word that is a token is that token
+            self.known[new[i]] = (str(self.whole[raw[i]]), 1, raw[i])
+            self.held += len(self.known[new[i]][0]) + len(raw[i])
         for part in parts(short, lambda i: len(raw[i]) ** 2 // 2, ROWS, ROUND):
             self._contract([raw[i] for i in part])
             self._keep([new[i] for i in part])
@@ -298,8 +299,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) ->
             codec.learn(set().union(*words))
             rows = []
             for own in words:
-                found = [codec.known[w] for w in own]
-                rows.append((" ".join([f[0] for f in found]), sum(f[1] for f in found), b"".join([f[2] for f in found])))
+                texts, sizes, decoded = zip(*map(codec.known.__getitem__, own)) if own else ((), (), ())
+                rows.append((" ".join(texts), sum(sizes), b"".join(decoded)))
             out = [batch.column("doc_id"), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t, _, _ in rows]), pa.array([hashlib.sha256(d).hexdigest() for _, _, d in rows])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

@@ -145,6 +145,14 @@ def test_byte_bpe_equals_library_and_decodes(spark):
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest() and r.n_tokens == len(r.ids)
 
 
+def test_byte_bpe_tokens_need_no_engine():
+    codec = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    token = next(t for t in sorted(codec.whole) if len(t) > 3 and t.isalpha())
+    codec.db.close()
+    codec.learn([token.decode()])
+    assert codec.known[token.decode()] == (str(codec.whole[token]), 1, token)
+
+
 def test_byte_bpe_takes_words_of_200_kb():
     import tiktoken
 
