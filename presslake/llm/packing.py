@@ -50,7 +50,7 @@ _encoders: dict = {}
 
 
 def encoder(vocabulary: str, pattern: str, tokenizer: str, special: str, special_id: int):
-    """text -> ids of the vocabulary's ranks; ``special`` inside a text is its own id, as the JSON form ``tokenizer`` of the same vocabulary has it.
+    """text -> ids of the vocabulary's ranks, as an array without a Python list of them; ``special`` inside a text is its own id, as the JSON form ``tokenizer`` of the same vocabulary has it.
 
     The pattern looks ahead behind white space, and its engine gives up with a ValueError on a run of about a
     million white-space characters; such a text is encoded by the JSON form, which cuts it without looking back.
@@ -63,15 +63,15 @@ def encoder(vocabulary: str, pattern: str, tokenizer: str, special: str, special
         _encoders[vocabulary, special] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: special_id})
     own = _encoders[vocabulary, special]
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         try:
-            return own.encode(text, allowed_special={special}, disallowed_special=())
+            return own.encode_to_numpy(text, allowed_special={special}, disallowed_special=())
         except ValueError:
             if tokenizer not in _encoders:
                 from tokenizers import Tokenizer
 
                 _encoders[tokenizer] = Tokenizer.from_file(tokenizer)
-            return _encoders[tokenizer].encode(text, add_special_tokens=False).ids
+            return np.array(_encoders[tokenizer].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, tokenizer: str, speci
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.array([*encode(text), end_id], "<u4")
+                ids = np.append(encode(text), np.uint32(end_id)).astype("<u4", copy=False)
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(edges))]

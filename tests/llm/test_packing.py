@@ -74,6 +74,12 @@ def test_very_long_runs_are_the_librarys_ids(text):
     assert list(encode(text)) == Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
+def test_ids_come_as_arrays():
+    encode = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"), "<|endoftext|>", 50256)
+    for text in ("", "a word<|endoftext|>"):
+        assert isinstance(encode(text), np.ndarray) and encode(text).dtype == np.uint32
+
+
 def test_a_text_of_white_space_is_packed(spark):
     rows = packing.best_fit(spark.createDataFrame([(1, " " * 1_000_000 + "x", "", ""), (2, "short", "", "")], DOC), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json")).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 1_000_001
