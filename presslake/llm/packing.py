@@ -45,6 +45,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CLASSES = (2, 3, 4, 8, 32)
 #: Up to as many pieces to a sequence, any of a class fit; beyond, those of one length are put together.
 SHORT = 4
+#: Rows of a step to a partition: a step takes as many tasks as its rows need, and no more than the session's shuffle partitions.
+ROWS = 20_000
 
 _encoders: dict = {}
 
@@ -98,6 +100,11 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, tokenizer: str, speci
     return map_batches(docs.select("doc_id", "text"), PIECE, start)
 
 
+def spread(rows: int, most: int) -> int:
+    """Partitions of a step over ``rows``."""
+    return min(most, 1 + rows // ROWS)
+
+
 def running(df: DataFrame, keys: list, value, partitions: int) -> DataFrame:
     """df, range-sorted by ``keys``, with the running sum of ``value`` (total) and the least that it, or 0, has been with the row (low) and before it (low_before)."""
     names = df.columns
@@ -113,7 +120,7 @@ def running(df: DataFrame, keys: list, value, partitions: int) -> DataFrame:
                 total, low = int(sums[-1]), int(lows[-1])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    valued = df.withColumn("value", value.cast("long"))
+    valued = df.coalesce(partitions).withColumn("value", value.cast("long"))
     ranged = valued.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
     here = checkpoint(ranged.mapInArrow(run, f"{fields}, part int, sums long, lows long, before long"))
     # a row per partition: the sum of the partitions before it, and how low they went
@@ -181,7 +188,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     all_pieces = numbered.select(F.lit(True).alias("is_piece"), F.col("length").alias("size"), "key", F.lit(0).alias("slot"), "doc_id", "piece", "start", "ids_crc32")
     within = lambda low, high: (F.col("size") > low) & (F.col("size") <= high)
     edges = [capacity // c for c in CLASSES if capacity // c] + [0]
-    counts = all_pieces.agg(*(F.count_if(within(low, high)) for high, low in itertools.pairwise(edges))).first()
+    total, *counts = all_pieces.agg(F.count("*"), *(F.count_if(within(low, high)) for high, low in itertools.pairwise(edges))).first()
     alone = all_pieces.filter(F.col("size") > edges[0])
     done = [_placed(alone, F.col("key"))]
     gaps = _gaps(alone.filter(F.col("size") < capacity).select((F.lit(capacity) - F.col("size")).alias("size"), "key"))
@@ -200,7 +207,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 dealt = dealt.withColumn("size", F.when(last, F.col("size") - (F.col("slots") - 1) * high).otherwise(F.lit(high).cast("long"))).select(*ROW)
             else:
                 dealt = gaps
-            swept = sweep(dealt, left, partitions)
+            swept = sweep(dealt, left, spread(wanted + each * n_gaps, partitions))
             done.append(_placed(swept.filter("is_piece and missed is null"), F.col("other_key")))
             left = swept.filter("missed is not null")
             after = F.col("size") - F.coalesce("other_size", F.lit(0))
@@ -217,11 +224,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             if not rest or not n_gaps or rest == wanted:
                 break
             left, wanted = left.select(*ROW), rest
-        for group in grouped(left, number, capacity // high, high, capacity, partitions) if rest else ():
+        for group in grouped(left, number, capacity // high, high, capacity, spread(rest, partitions)) if rest else ():
             done.append(_placed(group, F.col("sequence")))
             idle.append(_gaps(group.groupBy(F.col("sequence").alias("key")).agg((F.lit(capacity) - F.sum("size")).alias("size"))))
-        gaps = checkpoint(reduce(DataFrame.unionByName, idle, gaps).coalesce(partitions)) if low else gaps
-    together = reduce(DataFrame.unionByName, done)
+        gaps = checkpoint(reduce(DataFrame.unionByName, idle, gaps).coalesce(spread(total, partitions))) if low else gaps
+    together = reduce(DataFrame.unionByName, done).coalesce(spread(total, partitions))
     so_far = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "key")
     return together.withColumn("offset", F.sum("length").over(so_far) - F.col("length")).drop("key")
 

@@ -66,6 +66,21 @@ def test_as_few_sequences_as_sequential_best_fit(spark, name):
     assert whole(rows) <= 1.02 * best_fit_decreasing(lengths) + 2
 
 
+def test_steps_take_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    rng, asked, running = random.Random(5), [], packing.running
+    monkeypatch.setattr(packing, "running", lambda df, keys, value, partitions: asked.append(partitions) or running(df, keys, value, partitions))
+    df = spark.createDataFrame([(i, 0, 0, rng.randrange(1, 1025), 7) for i in range(600)], packing.PIECE).repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        found = sorted(packing.pack(df).collect())
+        assert set(asked) == {1}
+        monkeypatch.setattr(packing, "ROWS", 100)
+        assert sorted(packing.pack(df).collect()) == found and max(asked) > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("text", [" " * 1_000_000, " " * 5_000_000, " " * 1_000_000 + "x", "\n" * 1_000_000 + " a", "a" + "\t" * 1_200_000, "x" * 5_000_000, "." * 1_000_000, "é" * 1_000_000], ids=lambda t: f"{t[0]!r}x{len(t)}{t[-1]!r}")
 def test_very_long_runs_are_the_librarys_ids(text):
     from tokenizers import Tokenizer
