@@ -13,8 +13,8 @@ time and memory grow with a word's length and not with its square. What is contr
 itself be long: such rows are kept for the live generation only, and each turn contracts all pairs of a
 word's minimum rank that don't overlap, from the left, up to the first whose contraction lets a lower
 rank in, so that the result is that of one pair at a time.
-Ordered aggregation over the token rows then gives each word's ids and, joined with the vocabulary's
-bytes, the decoded word; a word that is a token needs neither. A text's ids are its words' ids in order; so are its decoded bytes.
+The token rows, joined with the vocabulary's bytes and sorted by word and place, then give each word's ids and the
+decoded word, as runs of one sorted result; a word that is a token needs neither. A text's ids are its words' ids in order; so are its decoded bytes.
 
 The engine holds ENGINE_MEMORY and spills nothing: what it takes at a time is bounded by ROWS and LONG_BYTES.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,8 @@ MEMORY_BYTES, LONG, ROWS, LONG_BYTES = 48 << 20, 64, 1 << 21, 1 << 19
 #: Bytes of a long word's spans, and tokens on each side of a seam that are first contracted again.
 SPAN, SEAM = 48, 6
 ENGINE_MEMORY = "400MB"
+#: What is known of a word.
+TEXT, SIZE, DECODED = map(itemgetter, range(3))
 
 _tables: dict[str, tuple[list[bytes], pa.Table]] = {}
 
@@ -110,10 +113,9 @@ CREATE OR REPLACE TEMP TABLE token AS
 WITH fixpoint AS (SELECT g.* FROM generation g JOIN (SELECT word, max(turn) AS turn FROM generation GROUP BY word) USING (word, turn))
 SELECT word, 0 AS place, l AS id FROM fixpoint WHERE place = 0 UNION ALL SELECT word, next, r FROM fixpoint UNION ALL SELECT word, 0, id FROM single
 """
-DECODE = """
-SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY place) AS ids, count(*) AS n, unhex(string_agg(hex(v.bytes), '' ORDER BY place)) AS decoded
-FROM token JOIN vocab v USING (id) GROUP BY word
-"""
+#: All words' tokens in order, with what they stand for: one sort, where an ordered aggregate would sort every word.
+DECODE = "SELECT word, v.text, v.bytes FROM token JOIN vocab v USING (id) ORDER BY word, place"
+
 
 def load_ranks(path: str) -> tuple[list[bytes], pa.Table]:
     """Token bytes by id, and the merge table (l, r, merged): every cut of a token into two tokens."""
@@ -168,7 +170,7 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": ENGINE_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
-        vocab = pa.table({"id": pa.array(range(len(self.bytes)), pa.int32()), "bytes": pa.array(self.bytes, pa.binary())})
+        vocab = pa.table({"id": pa.array(range(len(self.bytes)), pa.int32()), "text": pa.array(map(str, range(len(self.bytes)))), "bytes": pa.array(self.bytes, pa.binary())})
         self.db.register("vocab_in", vocab)
         self.db.execute("CREATE TABLE vocab AS FROM vocab_in")
 
@@ -261,6 +263,7 @@ class Codec:
     def _keep(self, words: list[str], ids: list[list[int]] | None = None) -> None:
         """Remembers the words of the table token, or of ``ids``, with their ids and decoded bytes."""
         import numpy as np
+        import pyarrow.compute as pc
 
         if ids is not None:
             size = np.array([len(i) for i in ids], np.int64)
@@ -269,7 +272,11 @@ class Codec:
             self.db.execute("CREATE OR REPLACE TEMP TABLE token AS FROM tokens_in")
             self.db.unregister("tokens_in")
         out = self.db.sql(DECODE).to_arrow_table()
-        for i, text, n, decoded in zip(*(out.column(c).to_pylist() for c in ("word", "ids", "n", "decoded"))):
+        word = out.column("word").to_numpy()
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        ends = np.append(first, len(word))
+        runs = lambda c, by: pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), out.column(c).combine_chunks()), by).to_pylist()
+        for i, text, n, decoded in zip(word[first].tolist(), runs("text", " "), np.diff(ends).tolist(), runs("bytes", b"")):
             self.known[words[i]] = (text, n, decoded)
             self.held += len(text) + len(decoded)
 
@@ -299,8 +306,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) ->
             codec.learn(set().union(*words))
             rows = []
             for own in words:
-                texts, sizes, decoded = zip(*map(codec.known.__getitem__, own)) if own else ((), (), ())
-                rows.append((" ".join(texts), sum(sizes), b"".join(decoded)))
+                found = list(map(codec.known.__getitem__, own))
+                rows.append((" ".join(map(TEXT, found)), sum(map(SIZE, found)), b"".join(map(DECODED, found))))
             out = [batch.column("doc_id"), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t, _, _ in rows]), pa.array([hashlib.sha256(d).hexdigest() for _, _, d in rows])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

@@ -153,6 +153,34 @@ def test_byte_bpe_tokens_need_no_engine():
     assert codec.known[token.decode()] == (str(codec.whole[token]), 1, token)
 
 
+def test_byte_bpe_keeps_words_in_one_sort():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks, _ = byte_bpe.load_ranks(path)
+    own = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks={b: i for i, b in enumerate(ranks) if b}, special_tokens={})
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abehinorstü汉😀") for _ in range(rng.randrange(1, 15))) for _ in range(3000)} | {"aaa", "aa" * 9, "x" * 200})
+    codec, asked = byte_bpe.Codec(path, P.PATTERN), []
+    sql = codec.db.sql
+
+    class Recorded:
+        def __getattr__(self, name):
+            return getattr(db, name)
+
+        def sql(self, query):
+            asked.append(query)
+            return sql(query)
+
+    db, codec.db = codec.db, Recorded()
+    codec.learn(words)
+    assert asked and not any("agg(" in q for q in asked)
+    for w in words:
+        text, n, decoded = codec.known[w]
+        ids = own._core_bpe.encode_single_piece(w.encode())
+        assert [int(i) for i in text.split()] == ids and n == len(ids) and decoded == w.encode()
+
+
 def test_byte_bpe_takes_words_of_200_kb():
     import tiktoken
 
